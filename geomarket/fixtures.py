@@ -28,9 +28,13 @@ def _longitude(key: Column) -> Column:
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_from(table(spark, sf_dir, "lineitem"))
+
+
+def sales_from(lineitem: DataFrame) -> DataFrame:
     order, part, supp, line = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     quantity = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.col("l_shipdate").cast("date").alias("sale_date"),
         F.col("l_extendedprice").alias("sale_price"),
         line.alias("beds"),

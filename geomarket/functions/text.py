@@ -15,9 +15,14 @@ def year_month(date: Column) -> Column:
     return (F.year(date) * 100 + F.month(date)).cast("int")
 
 
+def five_places(value: Column) -> Column:
+    """Rounded to five places, trailing zeros dropped but one decimal kept."""
+    return F.regexp_replace(F.format_string("%.5f", value), r"(\.\d+?)0*$", "$1")
+
+
 def search_string(first: Column, second: Column, separator: str = " ") -> Column:
     """Two coordinates to five places; the caller picks the order."""
-    return F.format_string(f"%.5f{separator}%.5f", first, second)
+    return F.concat(five_places(first), F.lit(separator), five_places(second))
 
 
 def wkt_coordinates(wkt: Column) -> Column:

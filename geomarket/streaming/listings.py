@@ -8,6 +8,7 @@ overwrites its own folder and reads only older ones, so the outcome is the same.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def _buckets_at(spark: SparkSession, table: str, before: int | None = None) -> d
     """Bucket to batch folder (at most one entry per bucket), as of the last commit before a batch."""
     try:
         commits = spark.read.schema("bucket int, version bigint, batch bigint").parquet(f"{table}/commits")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return {}
         raise
     if before is not None:
