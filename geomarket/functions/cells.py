@@ -42,18 +42,16 @@ class CellGrid:
 DEFAULT_GRID = CellGrid()
 
 
-def _nearest(value: Column) -> Column:
-    return F.floor(value + 0.5)
+def _nearest_hex(u: Column, v: Column) -> tuple[Column, Column]:
+    """Axial coordinates of the hexagon that holds a plane point.
 
-
-def _hex_round(q: Column, r: Column) -> tuple[Column, Column]:
-    """Nearest lattice point: round the three cube axes, then repair the worst one."""
-    s = -q - r
-    rq, rr, rs = _nearest(q), _nearest(r), _nearest(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    fix_q = (dq > dr) & (dq > ds)
-    fix_r = ~fix_q & (dr > ds)
-    return F.when(fix_q, -rr - rs).otherwise(rq), F.when(fix_r, -rq - rs).otherwise(rr)
+    ``u`` is x in units of the spacing between neighbours, ``v`` is y in units of
+    the side length. Three floors decide it, so the inputs are repeated only a
+    few times and the expression stays small.
+    """
+    strip = F.floor(u + v + 1.0)
+    r = F.floor((strip + v - u + 1.0) / 3.0)
+    return F.floor((strip + u * 2.0 + 1.0) / 3.0) - r, r
 
 
 def pack(q: Column, r: Column) -> Column:
@@ -70,16 +68,23 @@ def axial_r(cell: Column) -> Column:
 
 def cell_of(lat: Column, lng: Column, grid: CellGrid = DEFAULT_GRID) -> Column:
     """Cell id of a point; null where a coordinate is missing or not on the globe."""
-    x = (lng - grid.lng0) * grid.km_per_lng
-    y = (lat - grid.lat0) * KM_PER_LAT
-    q, r = _hex_round((x * (math.sqrt(3) / 3) - y / 3) / grid.size_km, y * (2 / 3) / grid.size_km)
+    u = (lng - grid.lng0) * (grid.km_per_lng / (math.sqrt(3) * grid.size_km))
+    v = (lat - grid.lat0) * (KM_PER_LAT / grid.size_km)
+    q, r = _nearest_hex(u, v)
     return F.when(lat.between(-90, 90) & lng.between(-180, 180), pack(q, r))
 
 
 def cell_parent(cell: Column) -> Column:
-    """Id on the next coarser lattice, in integer coordinates of that lattice."""
+    """Id on the next coarser lattice.
+
+    The coarse coordinates are sevenths of ``3q + r`` and ``2r - q``; everything
+    stays in integers, so the result is exact.
+    """
     q, r = axial_q(cell), axial_r(cell)
-    return pack(*_hex_round((q * 3 + r) / F.lit(7.0), (r * 2 - q) / F.lit(7.0)))
+    a, b = q * 3 + r, r * 2 - q
+    strip = F.floor((a + b * 2 + 7) / 7.0)
+    parent_r = F.floor((strip * 7 + b - a + 7) / 21.0)
+    return pack(F.floor((strip * 7 + a * 2 + b + 7) / 21.0) - parent_r, parent_r)
 
 
 def central_child(parent: Column) -> Column:

@@ -10,24 +10,42 @@ from geomarket.functions.cells import DEFAULT_GRID
 from geomarket.operators import cells as ops
 
 
-def evaluate(spark, *columns):
-    return spark.range(1).select(*columns).first()
-
-
-@settings(max_examples=25, deadline=None)
-@given(st.integers(-2000, 2000), st.integers(-2000, 2000))
-def test_centre_is_in_its_cell_and_parent_follows(spark, q, r):
-    cell = cells.pack(F.lit(q), F.lit(r))
-    centre = cells.cell_centre(cell)
-    parent = cells.cell_parent(cell)
-    row = evaluate(
-        spark, cell.alias("cell"), cells.cell_of(centre["lat"], centre["lng"]).alias("again"),
-        cells.axial_q(cell).alias("q"), cells.axial_r(cell).alias("r"), parent.alias("parent"),
-        cells.cell_parent(cells.central_child(parent)).alias("parent_again"),
-    )
-    assert (row["q"], row["r"]) == (q, r)
-    assert row["cell"] == row["again"]
-    assert row["parent"] == row["parent_again"]
+AXIAL = st.lists(st.tuples(st.integers(-20000, 20000), st.integers(-20000, 20000)), min_size=50, max_size=200)
+
+
+@settings(max_examples=5, deadline=None)
+@given(AXIAL)
+def test_centre_is_in_its_cell_and_parent_follows(spark, pairs):
+    grid = cells.CellGrid(lat0=0.0, lng0=0.0, area_km2=0.005)
+    df = spark.createDataFrame(pairs, "q long, r long").select("q", "r", cells.pack(F.col("q"), F.col("r")).alias("cell"))
+    centre = cells.cell_centre(F.col("cell"), grid)
+    rows = df.select(
+        "q", "r", "cell", cells.axial_q(F.col("cell")).alias("q_again"), cells.axial_r(F.col("cell")).alias("r_again"),
+        cells.cell_of(centre["lat"], centre["lng"], grid).alias("again"),
+        cells.cell_parent(F.col("cell")).alias("parent"),
+    ).collect()
+    assert all((r["q"], r["r"], r["cell"]) == (r["q_again"], r["r_again"], r["again"]) for r in rows)
+    parents = spark.createDataFrame([(r["parent"],) for r in rows], "parent long")
+    again = cells.cell_parent(cells.central_child(F.col("parent")))
+    assert all(r[0] == r[1] for r in parents.select("parent", again).collect())
+
+
+def test_points_belong_to_the_nearest_centre(spark):
+    """No neighbouring centre is closer than the centre of the cell a point was given."""
+    points = spark.range(20_000).select((F.rand(3) * 0.3 + 47.3).alias("lat"), (F.rand(4) * 0.3 - 122.3).alias("lng"))
+    cell = cells.cell_of(F.col("lat"), F.col("lng"))
+
+    def gap(centre):
+        x = (F.col("lng") - centre["lng"]) * DEFAULT_GRID.km_per_lng
+        y = (F.col("lat") - centre["lat"]) * cells.KM_PER_LAT
+        return x * x + y * y
+
+    indexed = points.withColumn("cell", cell)
+    q, r = cells.axial_q(F.col("cell")), cells.axial_r(F.col("cell"))
+    around = [cells.pack(q + dq, r + dr) for dq, dr in [(1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)]]
+    own = gap(cells.cell_centre(F.col("cell")))
+    closest = F.least(*[gap(cells.cell_centre(c)) for c in around])
+    assert indexed.where(own > closest + 1e-9).count() == 0
 
 
 def test_every_parent_has_seven_children(spark):
@@ -43,8 +61,9 @@ def test_every_parent_has_seven_children(spark):
 @pytest.mark.parametrize("coarser", [0, 1, 2])
 def test_boundary_is_a_closed_hexagon_around_the_centre(spark, coarser):
     cell = cells.pack(F.lit(12), F.lit(-5))
-    row = evaluate(spark, cells.cell_boundary(cell, coarser=coarser).alias("ring"),
-                   cells.cell_centre(cell, coarser=coarser).alias("centre"))
+    row = spark.range(1).select(
+        cells.cell_boundary(cell, coarser=coarser).alias("ring"),
+        cells.cell_centre(cell, coarser=coarser).alias("centre")).first()
     ring, centre = row["ring"], row["centre"]
     assert len(ring) == 7 and ring[0] == ring[-1]
     radius = DEFAULT_GRID.size_km * math.sqrt(7) ** coarser
@@ -57,8 +76,9 @@ def test_boundary_is_a_closed_hexagon_around_the_centre(spark, coarser):
 def test_parent_centre_matches_its_central_child(spark):
     cell = cells.pack(F.lit(101), F.lit(-77))
     parent = cells.cell_parent(cell)
-    row = evaluate(spark, cells.cell_centre(parent, coarser=1).alias("a"),
-                   cells.cell_centre(cells.central_child(parent)).alias("b"))
+    row = spark.range(1).select(
+        cells.cell_centre(parent, coarser=1).alias("a"),
+        cells.cell_centre(cells.central_child(parent)).alias("b")).first()
     assert row["a"]["lng"] == pytest.approx(row["b"]["lng"], abs=1e-9)
     assert row["a"]["lat"] == pytest.approx(row["b"]["lat"], abs=1e-9)
 
