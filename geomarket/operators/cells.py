@@ -19,8 +19,8 @@ def with_cell(df: DataFrame, lat: str, lng: str, *, grid: CellGrid = DEFAULT_GRI
 
 
 def indexable(df: DataFrame, lat: str = "latitude", lng: str = "longitude") -> DataFrame:
-    """Rows whose cell can be computed."""
-    return with_cell(df, lat, lng).where(F.col("cell").isNotNull())
+    """Rows whose cell can be computed; the scan can check the coordinates itself."""
+    return with_cell(df.where(F.col(lat).between(-90, 90) & F.col(lng).between(-180, 180)), lat, lng)
 
 
 def cell_medians(listings: DataFrame, *, exact: bool = False) -> DataFrame:
@@ -33,7 +33,7 @@ def cell_medians(listings: DataFrame, *, exact: bool = False) -> DataFrame:
 
 def cell_rollup(df: DataFrame, cell: str = "cell") -> DataFrame:
     """Row counts per parent cell, added up from counts per cell."""
-    per_cell = df.where(F.col(cell).isNotNull()).groupBy(cell).agg(F.count("*").alias("n"))
+    per_cell = df.groupBy(cell).agg(F.count(cell).alias("n")).where("n > 0")
     return (
         per_cell.groupBy(cells.cell_parent(F.col(cell)).alias("parent"))
         .agg(F.count("*").cast("int").alias("cells"), F.sum("n").alias("n"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 # The sketch is off by at most 1/accuracy of a group's rows; the bracket is five times wider.
 _MARGIN = 5 / SKETCH_ACCURACY
+# Below this many rows the margin is only a few ranks wide; the bracket is then the whole group.
+_SMALL_GROUP = 20_000
 _SLICES = 1000
 
 
@@ -44,11 +46,11 @@ def exact_quantiles(
     interpolates between neighbours. ``extra`` adds aggregates of the same groups.
 
     A sketch brackets every wanted rank. A second scan counts what lies below the
-    bracket and keeps only the few rows inside it, so the data itself is never
-    shuffled when the group table is broadcast. The rows inside are cut into thin
-    slices, and only the slice that holds the wanted rank is sorted. No step
-    depends on how the rows spread over the groups, and the exact counts prove
-    that the bracket held.
+    bracket and keeps only the few rows inside it (all rows of a small group), so
+    the data itself is never shuffled when the group table is broadcast. The rows
+    inside are cut into thin slices, and only the slice that holds the wanted rank
+    is sorted. No step depends on how the rows spread over the groups, and the
+    exact counts prove that the bracket held.
 
     ``bounded_groups`` says the number of groups is bounded by their meaning
     (calendar months, one global group) and may be broadcast; otherwise the
@@ -58,8 +60,14 @@ def exact_quantiles(
     ends = [end for p in probs.values() for end in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
     v = F.col(value).cast("double")
     groups = df.groupBy(*by).agg(
-        F.percentile_approx(v, ends, SKETCH_ACCURACY).alias("_ends"), F.count(v).alias("_n"), *extra
+        F.percentile_approx(v, ends, SKETCH_ACCURACY).alias("_ends"), F.count(v).alias("_n"),
+        F.min(v).alias("_min"), F.max(v).alias("_max"), *extra,
     )
+    small = F.col("_n") < _SMALL_GROUP
+
+    def bracket(i: int) -> tuple[Column, Column]:
+        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        return F.when(small, F.col("_min")).otherwise(low), F.when(small, F.col("_max")).otherwise(high)
 
     ranks: list[tuple[str, Column, int]] = []
     for i, (name, p) in enumerate(probs.items()):
@@ -71,18 +79,18 @@ def exact_quantiles(
             ranks.append((name, F.greatest(F.ceil(F.col("_n") * p), F.lit(1)), i))
     # The extra aggregates ride along so that both uses of the group table ask for
     # the same columns; the engine then scans and aggregates for it only once.
-    riders = [c for c in groups.columns if c not in (*by, "_ends", "_n")]
+    riders = [c for c in groups.columns if c not in (*by, "_ends", "_n", "_min", "_max")]
     targets = F.array(*[
         F.struct(
             F.lit(t).alias("id"), rank.cast("bigint").alias("rank"),
-            F.col("_ends")[2 * i].alias("low"), F.col("_ends")[2 * i + 1].alias("high"), *riders,
+            bracket(i)[0].alias("low"), bracket(i)[1].alias("high"), *riders,
         )
         for t, (_, rank, i) in enumerate(ranks)
     ])
     brackets = groups.where("_n > 0").select(*[F.col(c).alias(f"_by_{c}") for c in by], targets.alias("_targets"))
 
     rows = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
-    def small(side: DataFrame) -> DataFrame:
+    def joined_side(side: DataFrame) -> DataFrame:
         return F.broadcast(side) if bounded_groups or not by else side
 
     if by:
@@ -90,7 +98,7 @@ def exact_quantiles(
         condition = same[0]
         for more in same[1:]:
             condition = condition & more
-        rows = rows.join(small(brackets), condition).select(*by, "_v", "_targets")
+        rows = rows.join(joined_side(brackets), condition).select(*by, "_v", "_targets")
     else:
         rows = rows.withColumn("_targets", brackets.select("_targets").scalar())
 
@@ -126,7 +134,7 @@ def exact_quantiles(
         same_slice = same_slice & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
     within = Window.partitionBy(*key).orderBy("_value")
     chosen = (
-        counted.join(small(slices), same_slice)
+        counted.join(joined_side(slices), same_slice)
         .withColumn("_cum", F.sum("_c").over(within))
         .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
         .groupBy(*by)
@@ -138,13 +146,13 @@ def exact_quantiles(
         condition = F.col(by[0]).eqNullSafe(F.col(f"_by_{by[0]}"))
         for c in by[1:]:
             condition = condition & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-        joined = groups.join(small(picked), condition, "left").drop(*[f"_by_{c}" for c in by])
+        joined = groups.join(joined_side(picked), condition, "left").drop(*[f"_by_{c}" for c in by])
     else:
         one = chosen.select(F.struct(*[name for name, _, _ in ranks]).alias("_one")).scalar()
         joined = groups.withColumn("_one", one).select("*", "_one.*").drop("_one")
 
     def proven(name: str, i: int) -> Column:
-        inside = F.col(name).between(F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1])
+        inside = F.col(name).between(*bracket(i))
         missed = F.raise_error(F.lit(f"rank of {name} lies outside its bracket")).cast("double")
         return F.when(F.col("_n") > 0, F.when(inside, F.col(name)).otherwise(missed))
 
@@ -155,7 +163,7 @@ def exact_quantiles(
             low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
             result = result.withColumn(name, low + (high - low) * (position - F.floor(position)))
         result = result.drop(*[name for name, _, _ in ranks])
-    return result.drop("_ends", "_n")
+    return result.drop("_ends", "_n", "_min", "_max")
 
 
 def quantiles(df: DataFrame, value: str, probs: Mapping[str, float], *, exact: bool, **options) -> DataFrame:

@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomarket.operators.polygons import grid_points
@@ -49,25 +49,23 @@ def variogram(samples: DataFrame, *, max_lag: float, lags: int = 6, decimals: in
     scale = float(10**decimals)
     reach = int(np.ceil(max_lag * scale))
 
-    def square(axis: str):
-        return F.floor(F.col(axis) / float(reach))
+    def square(column: Column, row: Column) -> Column:
+        """One bigint per square, so that the join hashes a single long."""
+        return F.shiftleft(column, 32) + row
 
+    column, row = F.floor(F.col("i") / float(reach)), F.floor(F.col("j") / float(reach))
+    # Partners lie in the same column of squares or the next one east.
+    neighbours = [(east, north) for east in (-1, 0) for north in (-1, 0, 1)]
     left = samples.select(
-        F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("z").alias("z1"),
-        square("i").alias("sq_i"), square("j").alias("sq_j"),
+        F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("z").alias("z1"), square(column, row).alias("square")
     )
-    # Partners lie in the same column of squares or the next one east.
-    right = (
-        samples.select(
-            F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("z").alias("z2"),
-            F.explode(F.array(square("i") - 1, square("i"))).alias("sq_i"), square("j").alias("_j"),
-        )
-        .withColumn("sq_j", F.explode(F.array(F.col("_j") - 1, F.col("_j"), F.col("_j") + 1)))
-        .drop("_j")
+    right = samples.select(
+        F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("z").alias("z2"),
+        F.explode(F.array(*[square(column + east, row + north) for east, north in neighbours])).alias("square"),
     )
     d_i, d_j, d_z = F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"), F.col("z2") - F.col("z1")
     distance = F.sqrt((d_i * d_i + d_j * d_j).cast("double")) / scale
-    pairs = left.join(right, ["sq_i", "sq_j"]).where((d_i > 0) | ((d_i == 0) & (d_j > 0)))
+    pairs = left.join(right, "square").where((d_i > 0) | ((d_i == 0) & (d_j > 0)))
     return (
         pairs.select(distance.alias("h"), (d_z * d_z * 0.5).alias("g"))
         .where(F.col("h") < max_lag)
