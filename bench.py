@@ -20,7 +20,7 @@ HEADLINE = [
     "headline_metrics", "monthly_medians", "monthly_sales", "recent_sales", "month_adjustment", "rebase_sales",
     "approx_price_quantiles", "dedupe_listings", "flag_duplicates", "listings_table", "cell_index", "cell_rollup",
     "cell_medians", "zoom_clusters", "points_in_polygons", "points_within_buffer", "listings_near_places",
-    "nearest_place", "geojson_features", "variogram", "kriging_neighbours", "kriging_surface", "stream_listings",
+    "nearest_place", "geojson_features", "geojson_collections", "variogram", "kriging_neighbours", "kriging_surface", "stream_listings",
     "stream_monthly_counts",
 ]
 

@@ -14,40 +14,46 @@ TWO_MILES_M = 3218.688
 METRES_PER_DEGREE = math.radians(1) * geometry.EARTH_RADIUS_M
 
 
-def _band(lat: Column, radius_m: float) -> Column:
-    """Latitude band, one radius high (and a little more, for rounding)."""
-    return F.floor(lat / (radius_m / METRES_PER_DEGREE * 1.001))
+# Search sizes of the nearest-place join: the radius halved this many times.
+_HALVINGS = 8
 
 
-def _column(lng: Column, band: Column, radius_m: float) -> Column:
-    """Longitude cell inside a band.
+def _height(reach: Column) -> Column:
+    """Height of a latitude band in degrees: the reach, and a little more for rounding."""
+    return reach * (1.001 / METRES_PER_DEGREE)
 
-    Cells widen towards the poles, band by band, so that the radius never spans
-    more than one cell on either side.
-    """
-    height = radius_m / METRES_PER_DEGREE * 1.001
-    farthest = F.greatest(F.abs(band - 1), F.abs(band + 2)) * height
-    width = F.lit(height * 1.01) / F.greatest(F.cos(F.radians(farthest)), F.lit(0.01))
-    return F.floor(lng / width)
+
+def _width(band: Column, reach: Column) -> Column:
+    """Width of the cells in a band; they widen towards the poles, band by band, so
+    that the reach never spans more than one cell on either side."""
+    farthest = F.greatest(F.abs(band - 1), F.abs(band + 2)) * _height(reach)
+    return _height(reach) * 1.01 / F.greatest(F.cos(F.radians(farthest)), F.lit(0.01))
 
 
-def _within(points: DataFrame, lat: str, lng: str, spots: DataFrame, radius_m: float, how: str) -> DataFrame:
-    """Join points to ``spots`` (``_lat``, ``_lng``, ...) no farther than the radius.
+def _located(df: DataFrame, lat: str, lng: str) -> DataFrame:
+    """Add the cell of each row; ``reach`` is the distance its neighbours may have."""
+    return (
+        df.withColumn("_band", F.floor(F.col(lat) / _height(F.col("reach"))))
+        .withColumn("_cell", F.floor(F.col(lng) / _width(F.col("_band"), F.col("reach"))))
+    )
 
-    The spots, not the points, are copied to the neighbouring cells. Poles
-    (above 89 degrees) and the date line are not wrapped.
+
+def _copied(spots: DataFrame) -> DataFrame:
+    """Spots (``_lat``, ``_lng``, ``reach``) copied to their own and all neighbouring cells.
+
+    A point's cell then lists every spot within reach of it. Cells above 89
+    degrees and across the date line are not joined up.
     """
-    copies = (
-        spots.withColumn("_band", F.explode(F.sequence(
-            _band(F.col("_lat"), radius_m) - 1, _band(F.col("_lat"), radius_m) + 1)))
-        .withColumn("_cell", F.explode(F.sequence(
-            _column(F.col("_lng"), F.col("_band"), radius_m) - 1,
-            _column(F.col("_lng"), F.col("_band"), radius_m) + 1)))
+    band = F.floor(F.col("_lat") / _height(F.col("reach")))
+    cell = F.floor(F.col("_lng") / _width(F.col("_band"), F.col("reach")))
+    return (
+        spots.withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
+        .withColumn("_cell", F.explode(F.sequence(cell - 1, cell + 1)))
     )
-    band = _band(F.col(lat), radius_m)
-    close = geometry.haversine_m(F.col(lat), F.col(lng), F.col("_lat"), F.col("_lng")) <= radius_m
-    same_cell = (band == F.col("_band")) & (_column(F.col(lng), band, radius_m) == F.col("_cell"))
-    return points.join(copies, same_cell & close, how)
+
+
+def _metres(lat: str, lng: str) -> Column:
+    return geometry.haversine_m(F.col(lat), F.col(lng), F.col("_lat"), F.col("_lng"))
 
 
 def near_places(listings: DataFrame, places: DataFrame, radius_m: float = TWO_MILES_M, *, lat: str = "latitude",
@@ -56,27 +62,58 @@ def near_places(listings: DataFrame, places: DataFrame, radius_m: float = TWO_MI
 
     Only distinct place coordinates matter, and a listing stops at its first hit.
     """
-    spots = places.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).select(
-        F.col(lat).alias("_lat"), F.col(lng).alias("_lng")
-    ).distinct()
-    return _within(listings, lat, lng, spots, radius_m, "left_semi")
+    spots = (
+        places.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
+        .select(F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).distinct()
+        .withColumn("reach", F.lit(float(radius_m)))
+    )
+    # Shuffled on the join key after copying, so the engine sees the true size
+    # before it decides whether to broadcast.
+    copies = _copied(spots).drop("reach").repartition("_band", "_cell")
+    probe = _located(listings.withColumn("reach", F.lit(float(radius_m))), lat, lng)
+    on = [probe["_band"] == copies["_band"], probe["_cell"] == copies["_cell"], _metres(lat, lng) <= radius_m]
+    return probe.join(copies, on, "left_semi").drop("reach", "_band", "_cell")
 
 
 def nearest_place(listings: DataFrame, places: DataFrame, radius_m: float = TWO_MILES_M, *, key: str = "zpid",
                   place_key: str = "fsq_id", lat: str = "latitude", lng: str = "longitude") -> DataFrame:
     """Per listing: the nearest place inside the radius and its distance in whole millimetres.
 
-    Places at one spot collapse to the smallest key, listings at one spot share
-    one search, and the minimum is combined ahead of the shuffle.
+    Places at one spot collapse to the smallest key, and listings at one spot
+    share one search. The search does not compare a listing with everything
+    inside the radius: cells of several sizes tell how far the nearest spot can
+    be at most, and only a cell of about that size is searched. In a crowded area
+    that is a cell of a few metres.
     """
+    sizes = F.explode(F.sequence(F.lit(0), F.lit(_HALVINGS)))
+    reach = F.lit(float(radius_m)) / F.pow(F.lit(2.0), F.col("level"))
     spots = (
         places.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
         .groupBy(F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).agg(F.min(place_key).alias(place_key))
+        .withColumn("level", sizes).withColumn("reach", reach)
+    )
+    cell = ["level", "_band", "_cell"]
+    copies = _copied(spots).drop("reach").repartition(*cell)
+    wanted = listings.select(lat, lng).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
+
+    # A copy in a point's cell lies at most two cells away either way. Such a hit
+    # is a usable bound where that is no more than four times the reach, because
+    # the cell two sizes up then lists everything as near as the hit.
+    nearest_lat = F.least(F.abs(F.col("_band") - 1), F.abs(F.col("_band") + 2)) * _height(F.col("reach"))
+    flattest = F.when(F.abs(F.col("_band") + 0.5) < 2, 1.0).otherwise(F.cos(F.radians(nearest_lat)))
+    across = _width(F.col("_band"), F.col("reach")) * flattest
+    farthest = F.hypot(_height(F.col("reach")), across) * (2 * METRES_PER_DEGREE)
+    probes = _located(wanted.withColumn("level", sizes).withColumn("reach", reach), lat, lng).where(
+        (F.col("level") == 0) | (farthest <= F.col("reach") * 4)
+    )
+    finest = (
+        probes.join(copies.select(*cell).distinct(), cell, "left_semi")
+        .groupBy(lat, lng).agg(F.greatest(F.max("level") - 2, F.lit(0)).alias("level"))
     )
-    where = listings.select(lat, lng).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
-    metres = geometry.haversine_m(F.col(lat), F.col(lng), F.col("_lat"), F.col("_lng"))
+    searched = _located(finest.withColumn("reach", reach), lat, lng)
+    metres = _metres(lat, lng)
     best = (
-        _within(where, lat, lng, spots, radius_m, "inner")
+        searched.join(copies, cell).where(metres <= radius_m)
         .groupBy(F.col(lat).alias("_at_lat"), F.col(lng).alias("_at_lng"))
         .agg(F.min(F.struct(F.round(metres * 1000).cast("bigint").alias("distance_mm"), place_key)).alias("_best"))
     )

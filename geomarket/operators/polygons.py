@@ -74,10 +74,11 @@ def _matched(points: DataFrame, polygons: DataFrame, x: str, y: str, keep: Seque
              margin: float, how: str) -> DataFrame:
     squares = cover(polygons, side, margin).select(
         F.col("cell_x").alias("_cell_x"), F.col("cell_y").alias("_cell_y"), F.col("edges").alias("_edges"), *keep
-    )
+    ).repartition("_cell_x", "_cell_y")
     same_cell = (_square(F.col(x), side) == F.col("_cell_x")) & (_square(F.col(y), side) == F.col("_cell_y"))
-    # No hint: the engine broadcasts the squares only when their size allows, and
-    # otherwise shuffles both sides and splits a crowded cell (adaptive skew join).
+    # No hint: the squares are shuffled on the join key first, so the engine knows
+    # their true size when it picks the join. Small ones are broadcast; otherwise
+    # the points are shuffled too and a crowded cell is split (adaptive skew join).
     joined = points.join(squares, same_cell & _contains(x, y, margin), how)
     return joined if how == "left_semi" else joined.drop("_cell_x", "_cell_y", "_edges")
 

@@ -62,7 +62,7 @@ def variogram(samples: DataFrame, *, max_lag: float, lags: int = 6, decimals: in
     right = samples.select(
         F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("z").alias("z2"),
         F.explode(F.array(*[square(column + east, row + north) for east, north in neighbours])).alias("square"),
-    )
+    ).repartition("square")
     d_i, d_j, d_z = F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"), F.col("z2") - F.col("z1")
     distance = F.sqrt((d_i * d_i + d_j * d_j).cast("double")) / scale
     pairs = left.join(right, "square").where((d_i > 0) | ((d_i == 0) & (d_j > 0)))
@@ -172,8 +172,9 @@ def kriging_neighbours(samples: DataFrame, nodes: DataFrame, k: int = 32, *, dec
         )
 
     centred = squares(nodes, F.col("x"), F.col("y"))
+    # The node side is bounded by the size of the grid, whatever the data.
     level = (
-        around(centred, F.lit(1), F.lit(1)).join(counts, ["level", "sx", "sy"])
+        F.broadcast(around(centred, F.lit(1), F.lit(1))).join(counts, ["level", "sx", "sy"])
         .groupBy("node", "level").agg(F.sum("held").alias("held"))
         .groupBy("node").agg(F.coalesce(
             F.min(F.when(F.col("held") >= k, F.col("level"))), F.lit(max(_LEVELS))).alias("level"))
@@ -185,7 +186,7 @@ def kriging_neighbours(samples: DataFrame, nodes: DataFrame, k: int = 32, *, dec
     ).select("node", "x", "y", "level", "sx", "sy", "reach")
     gap_x, gap_y = F.col("sample_x") - F.col("x"), F.col("sample_y") - F.col("y")
     candidates = (
-        searched.join(located.select("level", "sx", "sy", "i", "j", "z", "sample_x", "sample_y"),
+        F.broadcast(searched).join(located.select("level", "sx", "sy", "i", "j", "z", "sample_x", "sample_y"),
                       ["level", "sx", "sy"])
         .withColumn("distance_sq", gap_x * gap_x + gap_y * gap_y)
         .where((F.col("distance_sq") <= F.col("reach") * F.col("reach")) | (F.col("level") == max(_LEVELS)))

@@ -220,6 +220,10 @@ ORACLE: dict[str, str] = {
         select 'Feature' as type, 'Polygon' as shape, cell, count(zpid) as count, cast(7 as int) as corners,
           quantile_disc(price/livingArea, 0.5) as median_ppsf, round(any_value(lng0), 6) as lng, round(any_value(lat0), 6) as lat
         from (select *, {_GEOJSON_CORNER} from celled) where livingArea > 0 and cell is not null group by cell"""),
+    "geojson_collections": _with("fx_listings_a", f"""
+        with {_hex_cells("fx_listings_a", "latitude", "longitude")}
+        select 'FeatureCollection' as type, cell, quantile_disc(price/livingArea, 0.5) as median_ppsf, count(zpid) as count
+        from celled where livingArea > 0 and cell is not null group by cell"""),
     "price_per_sqft": _with("priced", "select sale_price, sqft, price_per_sqft, lat, lng from priced"),
     "listing_ppsf": _with("fx_listings_a", """
         select zpid, pos, price, livingArea, case when livingArea > 0 then price/livingArea end as pricePerSqft

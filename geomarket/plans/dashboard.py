@@ -43,7 +43,18 @@ def cell_layer(listings: DataFrame, *, exact: bool = False) -> DataFrame:
 
 
 def cell_features(layer: DataFrame) -> DataFrame:
-    return geojson.features(layer, "boundary", ["median_ppsf", "cell", "count"])
+    return geojson.with_feature(layer, "boundary", ["median_ppsf", "cell", "count"])
+
+
+def cell_collections(layer: DataFrame, coarser: int = 4) -> DataFrame:
+    """The layer as FeatureCollection documents, one per cell some levels up.
+
+    Four levels up a document holds at most 7 ** 4 features.
+    """
+    tiled = cell_features(layer).withColumn("tile", F.col("cell"))
+    for _ in range(coarser):
+        tiled = tiled.withColumn("tile", cell_functions.cell_parent(F.col("tile")))
+    return geojson.collections(tiled, "feature", "tile")
 
 
 def market_report(sales: DataFrame, listings: DataFrame, places: DataFrame, selection: Selection, *,

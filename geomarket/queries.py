@@ -76,7 +76,7 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def load_polygons(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "districts-geojson")
     districts = _districts(spark, sf).select(F.col("name").alias("NAME"), F.col("rings")[0].alias("outline"))
-    geojson.write_features(geojson.features(districts, "outline", ["NAME"], x="x", y="y"), path)
+    geojson.write_features(geojson.with_feature(districts, "outline", ["NAME"], x="x", y="y"), path)
     return polygons.polygon_vertices(geojson.read_polygons(spark, path, "NAME"), "name")
 
 
@@ -167,6 +167,15 @@ def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def geojson_collections(spark: SparkSession, sf: str) -> DataFrame:
+    """FeatureCollection documents of the cell layer, opened again."""
+    documents = dashboard.cell_collections(dashboard.cell_layer(_listings(spark, sf), exact=True))
+    layout = "type string, features array<struct<properties:struct<median_ppsf:double,cell:bigint,count:bigint>>>"
+    return documents.select(F.from_json("document", layout).alias("d")).select(
+        "d.type", F.explode("d.features").alias("f")).select("type", "f.properties.*")
+
+
 # Projections and filters ----------------------------------------------------------------------
 
 @query

@@ -43,15 +43,15 @@ def _positions(ring: Column, x: str, y: str) -> Column:
     return F.transform(ring, lambda p: F.array(p[x], p[y]))
 
 
-def features(df: DataFrame, ring: str, properties: list[str], *, x: str = "lng", y: str = "lat") -> DataFrame:
-    """One GeoJSON Feature per row, as text; properties that are null are left out."""
-    return df.select(F.to_json(F.struct(
+def with_feature(df: DataFrame, ring: str, properties: list[str], *, x: str = "lng", y: str = "lat") -> DataFrame:
+    """Add each row's GeoJSON Feature as text; properties that are null are left out."""
+    return df.withColumn("feature", F.to_json(F.struct(
         F.lit("Feature").alias("type"),
         F.struct(
             F.lit("Polygon").alias("type"), F.array(_positions(F.col(ring), x, y)).alias("coordinates")
         ).alias("geometry"),
         F.struct(*properties).alias("properties"),
-    )).alias("feature"))
+    )))
 
 
 def write_features(feature_rows: DataFrame, path: str) -> None:
@@ -59,11 +59,12 @@ def write_features(feature_rows: DataFrame, path: str) -> None:
     feature_rows.select("feature").write.text(path)
 
 
-def collection(feature_rows: DataFrame) -> str:
-    """A FeatureCollection document for a map widget.
+def collections(df: DataFrame, feature: str, tile: str) -> DataFrame:
+    """One FeatureCollection document per tile, for map widgets.
 
-    It is one document in memory, so use it on a filtered layer and
-    ``write_features`` on anything large.
+    Tiles must bound the number of features, as coarse cells do for the finer
+    cells inside them: a document is put together in one task.
     """
-    rows = ",".join(row["feature"] for row in feature_rows.toLocalIterator())
-    return f'{{"type": "FeatureCollection", "features": [{rows}]}}'
+    listed = F.array_join(F.array_sort(F.collect_list(feature)), ",")
+    document = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), listed, F.lit("]}"))
+    return df.groupBy(tile).agg(document.alias("document"))

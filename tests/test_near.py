@@ -42,6 +42,17 @@ def test_copies_at_one_spot(spark):
     assert near.near_places(ldf, pdf).count() == 3000
 
 
+def test_crowded_places_are_not_all_compared(spark):
+    """Every listing and every place inside a few hundred metres: the search stays local."""
+    rng = random.Random(11)
+    listings, places = scatter(rng, 1500, 47.5, -122.2, 0.002), scatter(rng, 1500, 47.5, -122.2, 0.002)
+    ldf = spark.createDataFrame(listings, "zpid long, latitude double, longitude double")
+    pdf = spark.createDataFrame(places, "fsq_id long, latitude double, longitude double")
+    expected = {i: min((round(metres((a, b), (c, d)) * 1000), j) for j, c, d in places) for i, a, b in listings}
+    answer = near.nearest_place(ldf, pdf)
+    assert {r["zpid"]: (r["distance_mm"], r["fsq_id"]) for r in answer.collect()} == expected
+
+
 def test_coverage(spark):
     points = spark.createDataFrame([(0,), (1,), (2,)], "call int")
     results = spark.createDataFrame([(1,), (1,), (5,), (None,)], "call int")

@@ -44,16 +44,16 @@ def test_polygon_documents(spark, tmp_path):
     assert polygons.polygon_vertices(whole.where("part = 1"), "name").count() == 4
 
 
-def test_collection_document(spark, small_dir):
+def test_collection_documents(spark, small_dir):
     listings = clean.with_listing_ppsf(cells.with_cell(fx.listings_a(spark, small_dir), "latitude", "longitude"))
     layer = dashboard.cell_layer(listings)
-    document = json.loads(geojson.collection(dashboard.cell_features(layer)))
-    assert document["type"] == "FeatureCollection"
-    assert len(document["features"]) == layer.count() > 0
-    feature = document["features"][0]
-    ring = feature["geometry"]["coordinates"][0]
-    assert feature["geometry"]["type"] == "Polygon" and len(ring) == 7 and ring[0] == ring[-1]
-    assert set(feature["properties"]) == {"median_ppsf", "cell", "count"}
+    documents = [json.loads(r["document"]) for r in dashboard.cell_collections(layer).collect()]
+    assert {d["type"] for d in documents} == {"FeatureCollection"}
+    features = [f for d in documents for f in d["features"]]
+    assert len(features) == layer.count() > 0
+    ring = features[0]["geometry"]["coordinates"][0]
+    assert features[0]["geometry"]["type"] == "Polygon" and len(ring) == 7 and ring[0] == ring[-1]
+    assert set(features[0]["properties"]) == {"median_ppsf", "cell", "count"}
 
 
 def test_empty_pages_yield_no_records(spark, tmp_path):
