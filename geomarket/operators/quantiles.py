@@ -11,7 +11,7 @@ SKETCH_ACCURACY = 10_000
 # The sketch is off by at most 1/accuracy of a group's rows; the bracket is five times wider.
 _MARGIN = 5 / SKETCH_ACCURACY
 # Below this many rows the margin is only a few ranks wide; the bracket is then the whole group.
-_SMALL_GROUP = 20_000
+_SMALL_GROUP = 6_000
 _SLICES = 1000
 
 

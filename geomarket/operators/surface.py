@@ -207,7 +207,10 @@ def _krige(x0: np.ndarray, y0: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.n
     system[:, size, size] = 0.0
     target = np.ones((nodes, size + 1))
     target[:, :size] = model(np.hypot(x - x0[:, None], y - y0[:, None]))
-    weights = (np.linalg.pinv(system, rcond=1e-13, hermitian=True) @ target[:, :, None])[:, :, 0]
+    try:
+        weights = np.linalg.solve(system, target[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        weights = (np.linalg.pinv(system, rcond=1e-13, hermitian=True) @ target[:, :, None])[:, :, 0]
     return (weights[:, :size] * z).sum(axis=1), (weights * target).sum(axis=1)
 
 

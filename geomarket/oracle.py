@@ -364,6 +364,18 @@ ORACLE: dict[str, str] = {
         select grid_x, grid_y, x, y, e.name from fine cross join fx_district_edges e group by grid_x, grid_y, x, y, e.name
         having count(*) filter ({_CROSSES.format(x="x", y="y")})%2 = 1
           and count(*) filter ({_ON_EDGE.format(x="x", y="y")}) = 0"""),
+    "search_points": _with("fx_district_edges", f"""
+        with chosen as (select * from fx_district_edges where name in {_DISTRICT_LIST}),
+        span as (select min(x1) as min_x, max(x1) as max_x, min(y1) as min_y, max(y1) as max_y from chosen),
+        fine as (select cast(gx.i as int) as grid_x, cast(gy.i as int) as grid_y,
+            min_x + gx.i*(max_x - min_x)/9e0 as x, min_y + gy.i*(max_y - min_y)/12e0 as y
+          from span, range(10) gx(i), range(13) gy(i))
+        select grid_x, grid_y, x, y, e.name, cast(3200 as int) as radius,
+          cast(round(x, 5) as varchar) || ' ' || cast(round(y, 5) as varchar) as lng_lat,
+          cast(round(y, 5) as varchar) || ',' || cast(round(x, 5) as varchar) as lat_lng
+        from fine cross join chosen e group by grid_x, grid_y, x, y, e.name
+        having count(*) filter ({_CROSSES.format(x="x", y="y")})%2 = 1
+          and count(*) filter ({_ON_EDGE.format(x="x", y="y")}) = 0"""),
     "polygon_parts": _with("fx_district_edges", """
         select name, cast(part as int) as part, cast(6 as int) as corners, x1 + part*1e0 as x, y1 as y
         from fx_district_edges cross join range(2) p(part) where seq = 0"""),

@@ -427,6 +427,11 @@ def uniform_points(spark: SparkSession, sf: str) -> DataFrame:
     return polygons.uniform_points(_districts(spark, sf), 20, 20)
 
 
+@query
+def search_points(spark: SparkSession, sf: str) -> DataFrame:
+    return acquisition.search_points(_districts(spark, sf), DISTRICTS, 10, 13, 3200)
+
+
 @query
 def polygon_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Two-part shapes, a district and its copy one degree east, taken apart again."""

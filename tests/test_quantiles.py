@@ -57,6 +57,18 @@ def test_more_rows_than_the_sketch_keeps(spark):
         assert got[name] == k * k / float(n)
 
 
+def test_group_sizes_around_the_small_limit(spark):
+    """Ranks stay inside their brackets on either side of the limit."""
+    rng = random.Random(8)
+    groups = {str(n): [rng.expovariate(0.01) for _ in range(n)] for n in (1, 2, 3, 10, 999, 5999, 6000, 6001, 7203, 10_001, 12_345)}
+    df = frame(spark, groups)
+    probs = {"a": 0.01, "b": 0.25, "c": 0.5, "d": 0.75, "e": 0.99}
+    for r in exact_quantiles(df, "v", probs, by=["g"]).collect():
+        assert all(r[k] == discrete(groups[r["g"]], p) for k, p in probs.items()), r["g"]
+    for r in exact_quantiles(df, "v", probs, by=["g"], linear=True).collect():
+        assert all(r[k] == pytest.approx(np.quantile(groups[r["g"]], p), rel=1e-12) for k, p in probs.items()), r["g"]
+
+
 def test_empty_frame(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert exact_quantiles(empty, "v", {"m": 0.5}, by=["g"]).collect() == []
