@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomarket.functions import geometry
+from geomarket.session import build_side
 
 # Two miles, and metres per degree of a great circle.
 TWO_MILES_M = 3218.688
@@ -61,15 +62,15 @@ def near_places(listings: DataFrame, places: DataFrame, radius_m: float = TWO_MI
     """Listings with at least one place inside the radius, each once.
 
     Only distinct place coordinates matter, and a listing stops at its first hit.
+    The copies of the places are counted before the join, and broadcast only when
+    they are few.
     """
     spots = (
         places.where(F.col(lat).isNotNull() & F.col(lng).isNotNull())
         .select(F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).distinct()
         .withColumn("reach", F.lit(float(radius_m)))
     )
-    # Shuffled on the join key after copying, so the engine sees the true size
-    # before it decides whether to broadcast.
-    copies = _copied(spots).drop("reach").repartition("_band", "_cell")
+    copies = build_side(_copied(spots).drop("reach"), "place-cells", F.lit(1))
     probe = _located(listings.withColumn("reach", F.lit(float(radius_m))), lat, lng)
     on = [probe["_band"] == copies["_band"], probe["_cell"] == copies["_cell"], _metres(lat, lng) <= radius_m]
     return probe.join(copies, on, "left_semi").drop("reach", "_band", "_cell")
@@ -93,7 +94,7 @@ def nearest_place(listings: DataFrame, places: DataFrame, radius_m: float = TWO_
         .withColumn("level", sizes).withColumn("reach", reach)
     )
     cell = ["level", "_band", "_cell"]
-    copies = _copied(spots).drop("reach").repartition(*cell)
+    copies = build_side(_copied(spots).drop("reach"), "place-cells", F.lit(1))
     wanted = listings.select(lat, lng).where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).distinct()
 
     # A copy in a point's cell lies at most two cells away either way. Such a hit

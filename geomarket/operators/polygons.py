@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomarket.functions import geometry, text
+from geomarket.session import build_side
 
 DEFAULT_SQUARE = 0.02
 
@@ -25,6 +26,13 @@ def _square(value: Column, side: float) -> Column:
     return F.floor(value / side)
 
 
+def _span(edges: Column, axis: str) -> tuple[Column, Column]:
+    """Smallest and largest coordinate of the edges along an axis."""
+    low = F.transform(edges, lambda e: F.least(e[f"{axis}1"], e[f"{axis}2"]))
+    high = F.transform(edges, lambda e: F.greatest(e[f"{axis}1"], e[f"{axis}2"]))
+    return F.array_min(low), F.array_max(high)
+
+
 def cover(polygons: DataFrame, side: float = DEFAULT_SQUARE, margin: float = 0.0) -> DataFrame:
     """Cut polygons into square cells, one row per polygon and useful cell.
 
@@ -32,28 +40,30 @@ def cover(polygons: DataFrame, side: float = DEFAULT_SQUARE, margin: float = 0.0
     all (``edges`` is null), or wholly outside, and then is dropped. The others
     keep only the edges that can decide a point of that cell: those a ray towards
     +x could cross, and those within ``margin``.
+
+    Polygons are cut into rows first, so that a cell looks only at the edges of
+    its row and the work grows with the outline rather than with its square.
     """
     # The slack keeps points that rounding puts on the wrong side of a cell border.
     slack = margin + side * 1e-6
     edges = F.col("edges")
-    boxed = with_edges(polygons).withColumns({
-        "_x0": F.array_min(F.transform(edges, lambda e: F.least(e["x1"], e["x2"]))) - slack,
-        "_x1": F.array_max(F.transform(edges, lambda e: F.greatest(e["x1"], e["x2"]))) + slack,
-        "_y0": F.array_min(F.transform(edges, lambda e: F.least(e["y1"], e["y2"]))) - slack,
-        "_y1": F.array_max(F.transform(edges, lambda e: F.greatest(e["y1"], e["y2"]))) + slack,
-    })
-    cells = (
-        boxed.withColumn("cell_x", F.explode(F.sequence(_square(F.col("_x0"), side), _square(F.col("_x1"), side))))
-        .withColumn("cell_y", F.explode(F.sequence(_square(F.col("_y0"), side), _square(F.col("_y1"), side))))
-        .drop("_x0", "_x1", "_y0", "_y1")
+
+    def steps(axis: str) -> Column:
+        low, high = _span(edges, axis)
+        return F.explode(F.sequence(_square(low - slack, side), _square(high + slack, side)))
+
+    south, north = F.col("cell_y") * side - slack, (F.col("cell_y") + 1) * side + slack
+    west, east = F.col("cell_x") * side - slack, (F.col("cell_x") + 1) * side + slack
+    everywhere = F.lit(math.inf)
+    rows = with_edges(polygons).withColumn("cell_y", steps("y")).withColumn(
+        "edges", F.filter(edges, lambda e: geometry.edge_meets_box(e, -everywhere, south, everywhere, north))
     )
-    west, south = F.col("cell_x") * side - slack, F.col("cell_y") * side - slack
-    east, north = (F.col("cell_x") + 1) * side + slack, (F.col("cell_y") + 1) * side + slack
     touched = F.exists(edges, lambda e: geometry.edge_meets_box(e, west, south, east, north))
     whole = geometry.odd_crossings(edges, (F.col("cell_x") + 0.5) * side, (F.col("cell_y") + 0.5) * side)
-    deciding = F.filter(edges, lambda e: geometry.edge_meets_box(e, west, south, F.lit(math.inf), north))
+    deciding = F.filter(edges, lambda e: geometry.edge_meets_box(e, west, south, everywhere, north))
     return (
-        cells.withColumn("_touched", touched)
+        rows.withColumn("cell_x", steps("x"))
+        .withColumn("_touched", touched)
         .where(F.col("_touched") | whole)
         .withColumn("edges", F.when(F.col("_touched"), deciding))
         .drop("_touched")
@@ -72,13 +82,11 @@ def _contains(x: str, y: str, margin: float) -> Column:
 
 def _matched(points: DataFrame, polygons: DataFrame, x: str, y: str, keep: Sequence[str], side: float,
              margin: float, how: str) -> DataFrame:
-    squares = cover(polygons, side, margin).select(
+    cells = cover(polygons, side, margin).select(
         F.col("cell_x").alias("_cell_x"), F.col("cell_y").alias("_cell_y"), F.col("edges").alias("_edges"), *keep
-    ).repartition("_cell_x", "_cell_y")
+    )
+    squares = build_side(cells, "polygon-cells", F.coalesce(F.size("_edges"), F.lit(0)) + 1)
     same_cell = (_square(F.col(x), side) == F.col("_cell_x")) & (_square(F.col(y), side) == F.col("_cell_y"))
-    # No hint: the squares are shuffled on the join key first, so the engine knows
-    # their true size when it picks the join. Small ones are broadcast; otherwise
-    # the points are shuffled too and a crowded cell is split (adaptive skew join).
     joined = points.join(squares, same_cell & _contains(x, y, margin), how)
     return joined if how == "left_semi" else joined.drop("_cell_x", "_cell_y", "_edges")
 

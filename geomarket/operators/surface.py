@@ -54,7 +54,8 @@ def variogram(samples: DataFrame, *, max_lag: float, lags: int = 6, decimals: in
         return F.shiftleft(column, 32) + row
 
     column, row = F.floor(F.col("i") / float(reach)), F.floor(F.col("j") / float(reach))
-    # Partners lie in the same column of squares or the next one east.
+    # Partners lie in the same column of squares or the next one east. The copies
+    # are six times the samples, which the engine cannot foresee: never broadcast.
     neighbours = [(east, north) for east in (-1, 0) for north in (-1, 0, 1)]
     left = samples.select(
         F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("z").alias("z1"), square(column, row).alias("square")
@@ -62,7 +63,7 @@ def variogram(samples: DataFrame, *, max_lag: float, lags: int = 6, decimals: in
     right = samples.select(
         F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("z").alias("z2"),
         F.explode(F.array(*[square(column + east, row + north) for east, north in neighbours])).alias("square"),
-    ).repartition("square")
+    ).hint("merge")
     d_i, d_j, d_z = F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"), F.col("z2") - F.col("z1")
     distance = F.sqrt((d_i * d_i + d_j * d_j).cast("double")) / scale
     pairs = left.join(right, "square").where((d_i > 0) | ((d_i == 0) & (d_j > 0)))

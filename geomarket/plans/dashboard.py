@@ -1,4 +1,4 @@
-"""Everything a market page shows, as DataFrames that stay lazy until read."""
+"""Everything a market page shows, as DataFrames; only the cell medians are computed up front."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geomarket.functions import cells as cell_functions
 from geomarket.functions import colour
 from geomarket.operators import cells, filters, labels, summary, trends
+from geomarket.session import written
 from geomarket.sources import geojson
 
 
@@ -36,8 +37,12 @@ def controls(sales: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
 
 
 def cell_layer(listings: DataFrame, *, exact: bool = False) -> DataFrame:
-    """Cell medians with boundary ring and fill colour."""
-    medians = cells.cell_medians(listings, exact=exact)
+    """Cell medians with boundary ring and fill colour.
+
+    The medians set their own colour scale, so they are written once (one row
+    per occupied cell) rather than computed for every reader.
+    """
+    medians = written(cells.cell_medians(listings, exact=exact), "cell-medians")
     coloured = labels.price_band(medians, "median_ppsf", colour.CELL_RAMP)
     return coloured.withColumn("boundary", cell_functions.cell_boundary(F.col("cell")))
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Largest side that a join may broadcast, in units of some 50 bytes: about 10 MB.
+BROADCAST_UNITS = 200_000
 
 
 def local_session(app: str = "geomarket", cpus: int | str = "*", memory: str = "12g") -> SparkSession:
@@ -47,3 +51,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def build_side(df: DataFrame, label: str, units: Column) -> DataFrame:
+    """The smaller side of a join, broadcast only if its measured size allows.
+
+    For tables that a cover or neighbour copies have multiplied: neither the
+    size of the source nor compressed files tell how much they hold. Above the
+    limit the join is a merge join, where both sides are shuffled and spill, and
+    the adaptive skew join splits a crowded key.
+    """
+    stored = written(df, label)
+    held = stored.agg(F.sum(units)).first()[0] or 0
+    return F.broadcast(stored) if held <= BROADCAST_UNITS else stored.hint("merge")

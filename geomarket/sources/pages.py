@@ -14,8 +14,9 @@ from geomarket import schema
 PAGE_META = ["resultsPerPage", "totalPages", "totalResultCount"]
 
 
-def read_pages(spark: SparkSession, path: str, payload: schema.T.StructType) -> DataFrame:
-    return spark.read.schema(payload).json(path)
+def read_pages(spark: SparkSession, path: str, payload: schema.T.StructType, *, lines: bool = True) -> DataFrame:
+    """One page per line, or with ``lines=False`` one page per file."""
+    return spark.read.schema(payload).option("multiLine", not lines).json(path)
 
 
 def normalize_pages(payload: DataFrame) -> DataFrame:

@@ -49,14 +49,21 @@ def current_listings(spark: SparkSession, table: str, layout: schema.T.StructTyp
 
 def merge_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     """Fold a micro-batch of normalised records into the current table."""
-    spark = batch.sparkSession
-    fresh = first_per_key(batch, ["zpid"], ORDER)
+    fresh = first_per_key(batch, ["zpid"], ORDER).persist()
+    try:
+        _fold(fresh, batch_id, table)
+    finally:
+        fresh.unpersist()
+
+
+def _fold(fresh: DataFrame, batch_id: int, table: str) -> None:
+    spark = fresh.sparkSession
     bucket = F.pmod(F.xxhash64("zpid"), F.lit(BUCKETS)).cast("int")
     touched = [row["bucket"] for row in fresh.select(bucket.alias("bucket")).distinct().collect()]
     if not touched:
         return
     versions = _buckets_at(spark, table, before=batch_id)
-    stored = _read_buckets(spark, table, {b: v for b, v in versions.items() if b in touched}, batch.schema)
+    stored = _read_buckets(spark, table, {b: v for b, v in versions.items() if b in touched}, fresh.schema)
     (
         first_per_key(stored.unionByName(fresh), ["zpid"], ORDER)
         .withColumn("bucket", bucket)

@@ -1,10 +1,11 @@
 """The physical plans that matter at scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from geomarket import fixtures as fx
-from geomarket import queries
-from geomarket.operators import cells, clean, filters, near, trends
+from geomarket import queries, session
+from geomarket.operators import cells, clean, filters, near, polygons, trends
 from geomarket.plans import dashboard
 
 
@@ -61,17 +62,6 @@ def test_column_operators_stay_in_the_engine(spark, small_dir):
         assert "Python" not in text and "Pandas" not in text, name
 
 
-def test_nearby_spots_are_searched_by_cell(spark, small_dir):
-    listings, places = fx.listings_a(spark, small_dir), fx.places(spark, small_dir)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(near.near_places(listings, places))
-        assert "SortMergeJoin" in text and "NestedLoop" not in text
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
 def test_market_report(spark, small_dir):
     sales = clean.with_year_month(clean.prepare_sales(fx.sales(spark, small_dir)))
     listings = clean.with_listing_ppsf(cells.with_cell(fx.listings_a(spark, small_dir), "latitude", "longitude"))
@@ -89,3 +79,64 @@ def test_market_report(spark, small_dir):
         assert part.count() > 0
     controls = dashboard.controls(sales, listings)
     assert controls["months"].count() > 50 and controls["price"].count() == 1
+
+
+@pytest.fixture
+def settings(spark):
+    """Change session settings for one test."""
+    changed = {}
+
+    def change(**values):
+        for name, value in values.items():
+            key = "spark.sql." + name.replace("__", ".")
+            changed.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in changed.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def final_plan(df) -> str:
+    df.collect()
+    return plan(df).split("== Initial Plan ==")[0]
+
+
+def test_multiplied_sides_are_measured_before_a_broadcast(spark, small_dir, monkeypatch):
+    """The source tables are tiny, their cells are not: above the limit nothing is broadcast."""
+    sales, districts = fx.sales(spark, small_dir).select("lat", "lng"), fx.districts(spark, small_dir)
+    listings, places = fx.listings_a(spark, small_dir), fx.places(spark, small_dir)
+
+    def joins():
+        return [
+            polygons.points_in_polygons(sales, districts), polygons.points_in_region(sales, districts),
+            near.near_places(listings, places), near.nearest_place(listings, places, key="pos"),
+        ]
+
+    few = joins()
+    assert all("BroadcastHashJoin" in plan(df) for df in few)
+    monkeypatch.setattr(session, "BROADCAST_UNITS", 5)
+    many = joins()
+    assert all("SortMergeJoin" in plan(df) for df in many)
+    for a, b in zip(few, many):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_a_crowded_cell_is_split(spark, sf_dir, settings, monkeypatch):
+    """Half of all points in one cell: its partition is read in pieces, and nothing is lost."""
+    points = spark.range(0, 400_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, F.rand(1) * 0.01 - 122.419).otherwise(F.rand(2) * 0.8 - 122.5).alias("lng"),
+        F.when(F.col("id") % 2 == 0, F.rand(3) * 0.01 + 47.241).otherwise(F.rand(4) * 0.6 + 47.2).alias("lat"),
+    )
+    districts = fx.districts(spark, sf_dir)
+    expected = {r["name"]: r["count"] for r in polygons.points_in_polygons(points, districts).groupBy("name").count().collect()}
+    monkeypatch.setattr(session, "BROADCAST_UNITS", 0)
+    settings(
+        shuffle__partitions="32", adaptive__advisoryPartitionSizeInBytes="256KB",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="256KB", adaptive__skewJoin__skewedPartitionFactor="2",
+    )
+    joined = polygons.points_in_polygons(points, districts).groupBy("name").agg(
+        F.count("*").alias("count"), F.sum("lat"), F.sum("lng"))
+    text = final_plan(joined)
+    assert "skew=true" in text
+    assert {r["name"]: r["count"] for r in joined.collect()} == expected

@@ -80,21 +80,6 @@ def test_buffer_equals_brute_force(spark):
     assert sorted((r["x"], r["y"]) for r in got.collect()) == expected
 
 
-def test_joins_never_compare_all_pairs(spark):
-    """Whatever the sizes, the squares give an equality key: no nested loop, no cartesian product."""
-    probe, polygons = points(spark, (0.2, 0.2)), shapes(spark, holed=[SQUARE, HOLE])
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        for threshold in (before, "-1"):
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-            plan = pg.points_in_polygons(probe, polygons, x="x", y="y")
-            text = plan._jdf.queryExecution().executedPlan().toString()
-            assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
-            assert hits(plan) == [(0.2, 0.2, "holed")]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
 def test_dissolve_does_not_depend_on_order(spark):
     tiles = {f"t{i}{j}": [[(float(i + a), float(j + b)) for a, b in SQUARE]] for i in range(3) for j in range(3)}
     del tiles["t11"]
