@@ -1,9 +1,13 @@
 """Listings kept current from landed JSON pages.
 
-The current table is split into hash buckets of the listing id. A micro-batch
-rewrites only the buckets it touches, under a folder named after the batch, and
-then commits a small map from bucket to folder. A batch that is retried
-overwrites its own folder and reads only older ones, so the outcome is the same.
+A micro-batch writes only its own records, one per listing, to a folder named
+after the batch; the table as it stands is the first record per listing over all
+of them. Every so many batches the folders are folded into one, so a reader
+meets one compacted folder and a few recent ones. Rewriting hash buckets instead
+would rewrite nearly the whole table with every batch, because the listings of a
+batch are spread over all buckets.
+
+A batch that is retried overwrites its own folder with the same records.
 """
 
 from __future__ import annotations
@@ -11,80 +15,75 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from geomarket import schema
 from geomarket.operators.clean import first_per_key
 from geomarket.sources.pages import normalize_pages
 
-BUCKETS = 64
 ORDER = ["page", "pos"]
 
 
-def _buckets_at(spark: SparkSession, table: str, before: int | None = None) -> dict[int, int]:
-    """Bucket to batch folder (at most one entry per bucket), as of the last commit before a batch."""
+def _stored(spark: SparkSession, path: str, layout: StructType) -> DataFrame:
+    """A folder of Parquet partitions, empty while nothing is there."""
     try:
-        commits = spark.read.schema("bucket int, version bigint, batch bigint").parquet(f"{table}/commits")
+        return spark.read.schema(layout).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return {}
-        raise
-    if before is not None:
-        commits = commits.where(F.col("batch") < before)
-    last = commits.agg(F.max("batch").alias("batch"))
-    rows = commits.where(F.col("batch") == last.select("batch").scalar()).collect()
-    return {row["bucket"]: row["version"] for row in rows}
-
-
-def _read_buckets(spark: SparkSession, table: str, versions: dict[int, int], layout: schema.T.StructType) -> DataFrame:
-    paths = [f"{table}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
-    if not paths:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], layout)
-    return spark.read.schema(layout).parquet(*paths)
 
 
-def current_listings(spark: SparkSession, table: str, layout: schema.T.StructType) -> DataFrame:
-    """One row per listing id, as of the last committed batch."""
-    return _read_buckets(spark, table, _buckets_at(spark, table), layout)
+def _folded_upto(spark: SparkSession, table: str) -> int:
+    """Last batch inside the newest finished compaction, or -1."""
+    done = _stored(spark, f"{table}/folds", StructType([StructField("upto", LongType())]))
+    return done.agg(F.max("upto")).first()[0] if not done.isEmpty() else -1
 
 
-def merge_batch(batch: DataFrame, batch_id: int, table: str) -> None:
-    """Fold a micro-batch of normalised records into the current table."""
-    fresh = first_per_key(batch, ["zpid"], ORDER).persist()
-    try:
-        _fold(fresh, batch_id, table)
-    finally:
-        fresh.unpersist()
+def _records(spark: SparkSession, table: str, layout: StructType, upto: int | None = None) -> DataFrame:
+    """The compacted records and those of later batches; both reads prune whole folders."""
+    folded = _folded_upto(spark, table)
+    recent = _stored(spark, f"{table}/batches", StructType([*layout.fields, StructField("batch", LongType())]))
+    recent = recent.where(F.col("batch") > folded)
+    if upto is not None:
+        recent = recent.where(F.col("batch") <= upto)
+    if folded < 0:
+        return recent.drop("batch")
+    return recent.drop("batch").unionByName(spark.read.schema(layout).parquet(f"{table}/folded/upto={folded}"))
+
 
+def current_listings(spark: SparkSession, table: str, layout: StructType) -> DataFrame:
+    """One row per listing id: the first record in page order."""
+    return first_per_key(_records(spark, table, layout), ["zpid"], ORDER)
 
-def _fold(fresh: DataFrame, batch_id: int, table: str) -> None:
-    spark = fresh.sparkSession
-    bucket = F.pmod(F.xxhash64("zpid"), F.lit(BUCKETS)).cast("int")
-    touched = [row["bucket"] for row in fresh.select(bucket.alias("bucket")).distinct().collect()]
-    if not touched:
+
+def compact(spark: SparkSession, table: str, layout: StructType, upto: int) -> None:
+    """Fold all batches up to one into a single folder, then mark it as finished."""
+    if _folded_upto(spark, table) >= upto:
         return
-    versions = _buckets_at(spark, table, before=batch_id)
-    stored = _read_buckets(spark, table, {b: v for b, v in versions.items() if b in touched}, fresh.schema)
-    (
-        first_per_key(stored.unionByName(fresh), ["zpid"], ORDER)
-        .withColumn("bucket", bucket)
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/version={batch_id}")
-    )
-    versions.update({b: batch_id for b in touched})
-    (
-        spark.createDataFrame(sorted(versions.items()), "bucket int, version bigint").coalesce(1)
-        .write.mode("overwrite").parquet(f"{table}/commits/batch={batch_id}")
-    )
+    folded = first_per_key(_records(spark, table, layout, upto), ["zpid"], ORDER)
+    folded.write.mode("overwrite").parquet(f"{table}/folded/upto={upto}")
+    marker = spark.range(1).select(F.lit(upto).cast("bigint").alias("upto"))
+    marker.write.mode("overwrite").parquet(f"{table}/folds/mark={upto}")
+
+
+def store_batch(batch: DataFrame, batch_id: int, table: str, compact_every: int = 50) -> None:
+    """Write a micro-batch of normalised records; compact from time to time."""
+    layout = batch.schema
+    first_per_key(batch, ["zpid"], ORDER).write.mode("overwrite").parquet(f"{table}/batches/batch={batch_id}")
+    if (batch_id + 1) % compact_every == 0:
+        compact(batch.sparkSession, table, layout, batch_id)
 
 
 def ingest_listings(spark: SparkSession, pages: str, table: str, checkpoint: str, *,
-                    files_per_batch: int | None = None):
+                    files_per_batch: int | None = None, compact_every: int = 50):
     """Start the job on a folder of landed pages; it ends when all present files are in."""
     reader = spark.readStream.schema(schema.PAGES_PAYLOAD)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         normalize_pages(reader.json(pages))
-        .writeStream.foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, table))
+        .writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, table, compact_every))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

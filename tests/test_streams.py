@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from geomarket import fixtures as fx
@@ -22,33 +23,45 @@ def rows(df):
     return sorted(tuple(sorted(r.asDict().items(), key=lambda item: item[0])) for r in df.collect())
 
 
-def test_many_batches_equal_one_batch(spark, small_dir, tmp_path):
+@pytest.mark.parametrize("compact_every", [2, 50])
+def test_many_batches_equal_one_batch(spark, small_dir, tmp_path, compact_every):
     landed, table = f"{tmp_path}/pages", f"{tmp_path}/table"
     land(spark, small_dir, landed, 5)
-    listing_stream.ingest_listings(spark, landed, table, f"{tmp_path}/state", files_per_batch=2).awaitTermination()
-    records = pages.normalize_pages(pages.read_pages(spark, landed, schema.PAGES_PAYLOAD))
-    expected = clean.first_per_key(records, ["zpid"], listing_stream.ORDER)
-    current = listing_stream.current_listings(spark, table, records.schema)
-    assert rows(current) == rows(expected)
-    assert spark.read.parquet(f"{table}/commits").select("batch").distinct().count() >= 2
 
-    # A restart finds nothing new; pages landed later are folded in.
-    more = f"{tmp_path}/more"
-    land(spark, small_dir, more, 1)
-    listing_stream.ingest_listings(spark, landed, table, f"{tmp_path}/state", files_per_batch=2).awaitTermination()
-    assert rows(listing_stream.current_listings(spark, table, records.schema)) == rows(expected)
+    def ingest():
+        listing_stream.ingest_listings(
+            spark, landed, table, f"{tmp_path}/state", files_per_batch=1, compact_every=compact_every).awaitTermination()
+
+    ingest()
+    records = pages.normalize_pages(pages.read_pages(spark, landed, schema.PAGES_PAYLOAD))
+    expected = rows(clean.first_per_key(records, ["zpid"], listing_stream.ORDER))
+    assert rows(listing_stream.current_listings(spark, table, records.schema)) == expected
+    assert listing_stream._folded_upto(spark, table) == (3 if compact_every == 2 else -1)
+    # A restart finds nothing new.
+    ingest()
+    assert rows(listing_stream.current_listings(spark, table, records.schema)) == expected
 
 
 def test_a_retried_batch_changes_nothing(spark, small_dir, tmp_path):
     landed, table = f"{tmp_path}/pages", f"{tmp_path}/table"
     land(spark, small_dir, landed, 2)
     records = pages.normalize_pages(pages.read_pages(spark, landed, schema.PAGES_PAYLOAD))
-    listing_stream.merge_batch(records.where("page % 2 = 0"), 0, table)
-    listing_stream.merge_batch(records.where("page % 2 = 1"), 1, table)
-    once = rows(listing_stream.current_listings(spark, table, records.schema))
-    listing_stream.merge_batch(records.where("page % 2 = 1"), 1, table)
-    assert rows(listing_stream.current_listings(spark, table, records.schema)) == once
-    assert once == rows(clean.first_per_key(records, ["zpid"], listing_stream.ORDER))
+    expected = rows(clean.first_per_key(records, ["zpid"], listing_stream.ORDER))
+    for batch_id in (0, 0, 1, 1):
+        listing_stream.store_batch(records.where(f"page % 2 = {batch_id}"), batch_id, table, compact_every=2)
+    assert rows(listing_stream.current_listings(spark, table, records.schema)) == expected
+
+
+def test_a_fold_that_did_not_finish_is_ignored(spark, small_dir, tmp_path):
+    landed, table = f"{tmp_path}/pages", f"{tmp_path}/table"
+    land(spark, small_dir, landed, 2)
+    records = pages.normalize_pages(pages.read_pages(spark, landed, schema.PAGES_PAYLOAD))
+    expected = rows(clean.first_per_key(records, ["zpid"], listing_stream.ORDER))
+    listing_stream.store_batch(records, 0, table)
+    records.limit(3).write.parquet(f"{table}/folded/upto=0")
+    assert rows(listing_stream.current_listings(spark, table, records.schema)) == expected
+    listing_stream.compact(spark, table, records.schema, 0)
+    assert rows(listing_stream.current_listings(spark, table, records.schema)) == expected
 
 
 def test_empty_table(spark, tmp_path):
