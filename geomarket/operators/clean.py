@@ -66,9 +66,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 def flag_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Mark every row whose key occurs more than once.
 
-    Keys are counted with a map-side combine and joined back, rather than
-    counted in a window that would bring a hot key's rows into one task; the
-    adaptive skew join splits such a key's rows.
+    Keys are counted with a map-side combine, and only the repeated ones are
+    joined back, rather than counted in a window that would bring a hot key's
+    rows into one task; the adaptive skew join splits such a key's rows.
     """
-    counts = df.groupBy(F.col(key).alias("_key")).agg((F.count("*") > 1).alias("dup"))
-    return df.join(counts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    repeated = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+    return (
+        df.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
+        .withColumn("dup", F.col("_n").isNotNull()).drop("_key", "_n")
+    )

@@ -39,7 +39,11 @@ def headline_metrics(df: DataFrame, column: str, *, exact: bool = False) -> Data
     return quantiles(df, column, {"median": 0.5}, exact=exact, extra=totals)
 
 
-def map_centre(df: DataFrame, lat: str = "latitude", lng: str = "longitude") -> DataFrame:
+def map_centre(df: DataFrame, lat: str = "latitude", lng: str = "longitude", *,
+               at: tuple[float, float] | None = None) -> DataFrame:
+    """Mean of the coordinates, unless a place to centre on is given (latitude first)."""
+    if at:
+        return df.sparkSession.range(1).select(F.lit(at[0]).alias("lat"), F.lit(at[1]).alias("lng"))
     return df.agg(F.avg(lat).alias("lat"), F.avg(lng).alias("lng"))
 
 

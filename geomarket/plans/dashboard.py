@@ -25,6 +25,7 @@ class Selection:
     price_min: int | None = None
     price_max: int | None = None
     bounds: filters.Bounds | None = None
+    centre: tuple[float, float] | None = None
 
 
 def controls(sales: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
@@ -67,7 +68,9 @@ def market_report(sales: DataFrame, listings: DataFrame, places: DataFrame, sele
     """All parts of the page.
 
     ``sales`` carry ``price_per_sqft`` and ``year_month``; ``listings`` carry
-    ``pricePerSqft`` and ``cell``. Without bounds the area is everything.
+    ``pricePerSqft`` and ``cell``. Without bounds the area is everything. Every
+    part reads its inputs again, so hand over stored tables, best clustered by
+    month or cell, rather than long derivations.
     """
     chosen_sales = filters.filter_sales(
         sales, month_min=selection.month_min, month_max=selection.month_max,
@@ -89,7 +92,7 @@ def market_report(sales: DataFrame, listings: DataFrame, places: DataFrame, sele
         "sales_metrics": summary.headline_metrics(area_sales, "sale_price", exact=exact),
         "monthly_sales": trends.monthly_sales(chosen_sales, in_area, exact=exact),
         "recent_sales": trends.recent_sales(area_sales),
-        "map_centre": summary.map_centre(chosen_listings),
+        "map_centre": summary.map_centre(chosen_listings, at=selection.centre),
         "cells": cell_layer(listings, exact=exact),
         "markers": labels.price_band(chosen_listings),
         "clusters": cells.zoom_clusters(chosen_listings),

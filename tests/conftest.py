@@ -25,3 +25,19 @@ def sf_dir():
 @pytest.fixture(scope="session")
 def small_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def settings(spark):
+    """Change session settings for one test."""
+    changed = {}
+
+    def change(**values):
+        for name, value in values.items():
+            key = "spark.sql." + name.replace("__", ".")
+            changed.setdefault(key, spark.conf.get(key, None))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in changed.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)

@@ -86,6 +86,12 @@ def test_distinct_puts_null_last(spark):
     assert [r["n"] for r in summary.distinct_sorted(df, "n").collect()] == [1, 3, None]
 
 
+def test_map_centre(spark):
+    df = spark.createDataFrame([(1.0, 10.0), (3.0, None)], "latitude double, longitude double")
+    assert tuple(summary.map_centre(df).first()) == (2.0, 10.0)
+    assert tuple(summary.map_centre(df, at=(47.5, -122.0)).first()) == (47.5, -122.0)
+
+
 def sales(spark, rows):
     return clean.with_price_per_sqft(spark.createDataFrame(rows, "year_month int, sale_price double, sqft double"))
 

@@ -26,6 +26,21 @@ def test_load_data(spark, tmp_path):
         assert (second["price_per_sqft"], second["cell"], second["bath_half"]) == (None, None, None)
 
 
+def test_clustered_parquet_spreads_a_hot_key(spark, tmp_path, settings):
+    settings(adaptive__coalescePartitions__enabled="false")
+    df = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, 202101).otherwise(202000 + F.col("id") % 12).alias("year_month"),
+        (F.col("id") % 2).alias("same"))
+    path = f"{tmp_path}/clustered"
+    tables.write_parquet(df, path, ["year_month"])
+    stored = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    assert stored.count() == 60_000
+    assert stored.where("year_month = 202101").select("file").distinct().count() > 1
+    spans = stored.groupBy("file").agg(F.min("year_month").alias("low"), F.max("year_month").alias("high")).collect()
+    assert all(r["high"] - r["low"] < 101 for r in spans)
+    assert spark.read.parquet(path).groupBy("year_month").count().exceptAll(df.groupBy("year_month").count()).isEmpty()
+
+
 def test_polygon_documents(spark, tmp_path):
     square = [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 0.0]]
     shift = [[x + 5, y] for x, y in square]
