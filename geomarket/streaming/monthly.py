@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from geomarket.operators import clean, trends
 
+SECONDS_PER_DAY = 86_400
+
 
 def daily_counts(sales: DataFrame, lateness: str) -> DataFrame:
     """Sales per day; calendar months are not a window length, so months are added up later.
@@ -14,12 +16,15 @@ def daily_counts(sales: DataFrame, lateness: str) -> DataFrame:
     Rows older than the watermark are dropped; the query's progress counts them
     under ``numRowsDroppedByWatermark``.
     """
+    # Days start at midnight UTC, as windows do, whatever the session's time zone.
+    midnight = F.timestamp_seconds(F.unix_date("sale_date").cast("bigint") * SECONDS_PER_DAY)
+    day = F.date_from_unix_date((F.unix_seconds("window.start") / SECONDS_PER_DAY).cast("int"))
     return (
-        sales.select(F.col("sale_date").cast("timestamp").alias("sold_at"), "sqft")
+        sales.select(midnight.alias("sold_at"), "sqft")
         .withWatermark("sold_at", lateness)
         .groupBy(F.window("sold_at", "1 day"))
         .agg(F.count("*").alias("sales"), F.count("sqft").alias("observations"))
-        .select(F.to_date("window.start").alias("day"), "sales", "observations")
+        .select(day.alias("day"), "sales", "observations")
     )
 
 

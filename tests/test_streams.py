@@ -73,7 +73,9 @@ def stream_of(spark, path, sales):
     return spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_daily_counts_over_batches(spark, small_dir, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_daily_counts_over_batches(spark, small_dir, tmp_path, settings, zone):
+    settings(session__timeZone=zone)
     sales = fx.sales(spark, small_dir)
     sales.repartition(4, F.rand(3)).write.parquet(f"{tmp_path}/sales")
     query = monthly_stream.start_daily_counts(
