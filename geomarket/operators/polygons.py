@@ -145,7 +145,7 @@ def region_bounds(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def linspace(low: Column, high: Column, n: int) -> Column:
     """``n`` evenly spaced values including both ends."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + i * (high - low) / float(n - 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + i * (high - low) / float(max(n - 1, 1)))
 
 
 def grid_points(bounds: DataFrame, number_x: int, number_y: int) -> DataFrame:

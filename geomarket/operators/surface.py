@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomarket.operators.polygons import grid_points
+from geomarket.session import build_side
 
 # Fixed value: the factor between the range and the width of the gaussian model.
 GAUSSIAN_WIDTH = 4.0 / 7.0
-# Square sizes of the neighbour search, as powers of two of the node spacing.
-_LEVELS = range(-4, 7)
+# Smallest squares of the neighbour search, as a power of two of the node spacing.
+_FINEST = -4
 
 
 def lattice_samples(points: DataFrame, value: str, *, lat: str = "lat", lng: str = "lng",
@@ -115,22 +116,25 @@ def fit_gaussian(bins: DataFrame, *, min_nugget_share: float = 1e-3) -> Gaussian
 
 
 def grid_nodes(samples: DataFrame, number_x: int = 40, number_y: int = 40, *, decimals: int = 3) -> DataFrame:
-    """Evenly spaced nodes over the extent of the samples."""
+    """Evenly spaced nodes over the extent of the samples.
+
+    ``spacing`` is the wider of the two steps, ``levels`` how often it doubles
+    until it spans the extent.
+    """
     scale = float(10**decimals)
     extent = samples.agg(
         (F.min("i") / scale).alias("min_x"), (F.min("j") / scale).alias("min_y"),
         (F.max("i") / scale).alias("max_x"), (F.max("j") / scale).alias("max_y"),
     )
-    steps = extent.where("min_x is not null").withColumns({
-        "dx": (F.col("max_x") - F.col("min_x")) / float(number_x - 1),
-        "dy": (F.col("max_y") - F.col("min_y")) / float(number_y - 1),
-    })
-    return grid_points(steps, number_x, number_y).select(
-        (F.col("grid_y") * number_x + F.col("grid_x")).cast("bigint").alias("node"), "x", "y",
-        # A flat extent still needs a positive square size.
-        F.when(F.col("dx") > 0, F.col("dx")).otherwise(1 / scale).alias("dx"),
-        F.when(F.col("dy") > 0, F.col("dy")).otherwise(1 / scale).alias("dy"),
+    wide, high = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    steps = extent.where("min_x is not null").withColumn(
+        # A single point still needs a positive spacing.
+        "spacing", F.greatest(wide / max(number_x - 1, 1), high / max(number_y - 1, 1), F.lit(1 / scale))
+    ).withColumn(
+        "levels", F.ceil(F.log2(F.greatest(wide, high, F.col("spacing")) / F.col("spacing"))).cast("int")
     )
+    node = (F.col("grid_y") * number_x + F.col("grid_x")).cast("bigint").alias("node")
+    return grid_points(steps, number_x, number_y).select(node, "x", "y", "spacing", "levels")
 
 
 def kriging_neighbours(samples: DataFrame, nodes: DataFrame, k: int = 32, *, decimals: int = 3) -> DataFrame:
@@ -138,63 +142,49 @@ def kriging_neighbours(samples: DataFrame, nodes: DataFrame, k: int = 32, *, dec
 
     Samples are counted in squares of several sizes. A node uses the smallest
     size whose 3 x 3 block around it already holds ``k`` samples: none of the k
-    nearest can then be farther than the block's far corner, so only squares
-    within that reach are searched, and only they are joined. The largest squares
-    cover the whole extent, so no node is left short while samples exist.
+    nearest can then be farther than the block's far corner, less than three
+    squares away, so only those squares are searched. The largest squares span
+    the whole extent, so no node is left short while samples exist.
     """
     scale = float(10**decimals)
-    step = nodes.select(F.struct("dx", "dy").alias("step")).limit(1)
-    sizes = F.array(*[
-        F.struct(F.lit(level).alias("level"), F.lit(2.0**level).alias("size")) for level in _LEVELS
-    ])
+    shape = nodes.select(F.struct("spacing", "levels").alias("shape")).limit(1)
 
-    def squares(df: DataFrame, x, y) -> DataFrame:
+    def squares(df: DataFrame, x: Column, y: Column) -> DataFrame:
+        """One row per size, with the square that holds the point."""
         return (
-            df.withColumn("_size", F.explode(sizes))
-            .withColumns({
-                "level": F.col("_size.level"),
-                "size": F.col("_size.size"),
-                "sx": F.floor(x / (F.col("dx") * F.col("_size.size"))),
-                "sy": F.floor(y / (F.col("dy") * F.col("_size.size"))),
-            })
-            .drop("_size")
+            df.withColumn("level", F.explode(F.sequence(F.lit(_FINEST), F.col("levels"))))
+            .withColumn("size", F.col("spacing") * F.pow(F.lit(2.0), F.col("level")))
+            .withColumns({"sx": F.floor(x / F.col("size")), "sy": F.floor(y / F.col("size"))})
         )
 
-    placed = samples.withColumns({
-        "sample_x": F.col("i") / scale, "sample_y": F.col("j") / scale, "_step": step.scalar(),
-    }).withColumns({"dx": F.col("_step.dx"), "dy": F.col("_step.dy")}).drop("_step")
-    located = squares(placed, F.col("sample_x"), F.col("sample_y"))
-    counts = located.groupBy("level", "sx", "sy").agg(F.count("*").alias("held"))
-
-    def around(df: DataFrame, reach_x, reach_y) -> DataFrame:
+    def around(df: DataFrame, reach: int) -> DataFrame:
         return (
-            df.withColumn("sx", F.explode(F.sequence(F.col("sx") - reach_x, F.col("sx") + reach_x)))
-            .withColumn("sy", F.explode(F.sequence(F.col("sy") - reach_y, F.col("sy") + reach_y)))
+            df.withColumn("sx", F.explode(F.sequence(F.col("sx") - reach, F.col("sx") + reach)))
+            .withColumn("sy", F.explode(F.sequence(F.col("sy") - reach, F.col("sy") + reach)))
         )
 
+    placed = samples.withColumn("_shape", shape.scalar()).select(
+        "i", "j", "z", (F.col("i") / scale).alias("sample_x"), (F.col("j") / scale).alias("sample_y"), "_shape.*"
+    )
+    located = squares(placed, F.col("sample_x"), F.col("sample_y"))
+    counts = located.groupBy("level", "sx", "sy").agg(F.count("*").alias("held"))
+
+    # The node side depends on the size of the grid, which may be broadcast or not.
     centred = squares(nodes, F.col("x"), F.col("y"))
-    # The node side is bounded by the size of the grid, whatever the data.
     level = (
-        F.broadcast(around(centred, F.lit(1), F.lit(1))).join(counts, ["level", "sx", "sy"])
-        .groupBy("node", "level").agg(F.sum("held").alias("held"))
-        .groupBy("node").agg(F.coalesce(
-            F.min(F.when(F.col("held") >= k, F.col("level"))), F.lit(max(_LEVELS))).alias("level"))
+        build_side(around(centred, 1), "node-squares", F.lit(1)).join(counts, ["level", "sx", "sy"])
+        .groupBy("node", "level", "levels").agg(F.sum("held").alias("held"))
+        .groupBy("node").agg(F.coalesce(F.min(F.when(F.col("held") >= k, F.col("level"))), F.max("levels")).alias("level"))
     )
-    farthest = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) * 2.0
-    searched = around(
-        centred.join(level, ["node", "level"]).withColumn("reach", farthest * F.col("size") * (1 + 1e-9)),
-        F.ceil(farthest / F.col("dx")), F.ceil(farthest / F.col("dy")),
-    ).select("node", "x", "y", "level", "sx", "sy", "reach")
+    # Three squares: the far corner of the block is 2 * sqrt(2) sizes away.
+    searched = around(centred.join(level, ["node", "level"]), 3).select("node", "x", "y", "level", "sx", "sy")
     gap_x, gap_y = F.col("sample_x") - F.col("x"), F.col("sample_y") - F.col("y")
-    candidates = (
-        F.broadcast(searched).join(located.select("level", "sx", "sy", "i", "j", "z", "sample_x", "sample_y"),
-                      ["level", "sx", "sy"])
-        .withColumn("distance_sq", gap_x * gap_x + gap_y * gap_y)
-        .where((F.col("distance_sq") <= F.col("reach") * F.col("reach")) | (F.col("level") == max(_LEVELS)))
-    )
     nearest = Window.partitionBy("node").orderBy("distance_sq", "i", "j")
     return (
-        candidates.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+        build_side(searched, "node-search", F.lit(1))
+        .join(located.select("level", "sx", "sy", "i", "j", "z", "sample_x", "sample_y"), ["level", "sx", "sy"])
+        .withColumn("distance_sq", gap_x * gap_x + gap_y * gap_y)
+        .withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
         .select("node", "x", "y", "rank", "i", "j", "sample_x", "sample_y", "z", "distance_sq")
     )
 

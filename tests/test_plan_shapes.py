@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from geomarket import fixtures as fx
 from geomarket import queries, session
-from geomarket.operators import cells, clean, filters, near, polygons, trends
+from geomarket.operators import cells, clean, filters, near, polygons, surface, trends
 from geomarket.plans import dashboard
 
 
@@ -90,11 +90,13 @@ def test_multiplied_sides_are_measured_before_a_broadcast(spark, small_dir, monk
     """The source tables are tiny, their cells are not: above the limit nothing is broadcast."""
     sales, districts = fx.sales(spark, small_dir).select("lat", "lng"), fx.districts(spark, small_dir)
     listings, places = fx.listings_a(spark, small_dir), fx.places(spark, small_dir)
+    samples = surface.lattice_samples(fx.sales(spark, small_dir), "sale_price")
 
     def joins():
         return [
             polygons.points_in_polygons(sales, districts), polygons.points_in_region(sales, districts),
             near.near_places(listings, places), near.nearest_place(listings, places, key="pos"),
+            surface.kriging_neighbours(samples, surface.grid_nodes(samples, 5, 5), k=4),
         ]
 
     few = joins()

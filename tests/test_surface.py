@@ -57,17 +57,17 @@ def test_exact_at_samples(spark):
         assert by_node[(i, j)]["variance"] == pytest.approx(0, abs=1e-8)
 
 
-@pytest.mark.parametrize("k", [1, 7, 40])
-def test_neighbours_equal_brute_force_when_crowded(spark, k):
+@pytest.mark.parametrize("k,number_x,number_y", [(1, 8, 8), (7, 8, 8), (40, 8, 8), (5, 150, 2), (5, 1, 9), (200, 4, 4)])
+def test_neighbours_equal_brute_force_when_crowded(spark, k, number_x, number_y):
     """Half of all samples sit in one corner, most nodes are far from any."""
     rng = np.random.default_rng(9)
     corner = {(int(a), int(b)) for a, b in rng.integers(0, 12, (100, 2))}
     wide = {(int(a), int(b)) for a, b in rng.integers(0, 2000, (60, 2))}
     points = sorted(corner | wide)
     df = spark.createDataFrame([(i, j, 1.0, 1) for i, j in points], "i long, j long, z double, n long")
-    got = surface.kriging_neighbours(df, surface.grid_nodes(df, 8, 8), k=k).collect()
+    got = surface.kriging_neighbours(df, surface.grid_nodes(df, number_x, number_y), k=k).collect()
     nodes = {r["node"]: (r["x"], r["y"]) for r in got}
-    assert len(nodes) == 64
+    assert len(nodes) == number_x * number_y
     for node, (x, y) in nodes.items():
         order = sorted(((i / 1000 - x) ** 2 + (j / 1000 - y) ** 2, i, j) for i, j in points)[:k]
         mine = sorted((r["rank"], r["i"], r["j"]) for r in got if r["node"] == node)
