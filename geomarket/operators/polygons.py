@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,3 +235,7 @@ def simplify_polygons(polygons: DataFrame, key: str, tolerance: float) -> DataFr
 
     closed = closed_rings(polygons).select(key, "rings")
     return closed.mapInPandas(batches, closed.schema)
+
+
+# What tasks run here travels with the job, so executors need numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,11 +7,13 @@ over the data; what follows is bounded by the area, not by the number of rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,3 +234,7 @@ def kriging_surface(neighbours: DataFrame, model: GaussianModel) -> DataFrame:
     return gathered.mapInPandas(
         solve, "node bigint, longitude double, latitude double, predicted double, variance double"
     )
+
+
+# What tasks run here travels with the job, so executors need numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
