@@ -21,7 +21,7 @@ def process_state(name: str) -> dict:
 
 
 def arrow_schema(fields: list[T.StructField]) -> pa.Schema:
-    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType, timezone="UTC")) for f in fields])
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
 
 
 def with_columns(df: DataFrame, compute: Columns, fields: list[T.StructField]) -> DataFrame:
