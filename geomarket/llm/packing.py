@@ -4,7 +4,7 @@ A configuration is a multiset of lengths that fits a sequence. The fractional co
 the length histogram by configurations is found by multiplicative weights: lengths that
 are covered too little gain price, and the best configuration at the current prices is
 a knapsack, solved by dynamic programming. Uses are rounded down to whole sequences,
-the next round covers what is left, and the last few sequences are filled best fit
+the next round covers what is left, and what the rounds leave is filled best fit
 first. The histogram has at most as many entries as a sequence has tokens and the plan
 so many configurations for each of them, so only small tables reach the driver, whatever
 the number of documents. Spark numbers the pieces of each length and looks up their places.
@@ -49,13 +49,36 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        probe = "ab cd, é 12 <|endoftext|> 's x"
-        if self._encode([probe])[0] != b"".join(self._encode(probe.split(" "))):
+        probe = "Ab cd, é 12! <|endoftext|> 's x"
+        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        if b"".join(self.ids([probe])) != np.array(whole, dtype="<u4").tobytes():
             raise ValueError("this tokenizer looks across spaces")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, from one call for all: offsets tell whose an id is."""
+        encoded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        ids = np.array(encoded.ids, dtype="<u4")
+        offsets = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        starts = np.cumsum([0] + [len(c) + 1 for c in chunks])
+        cuts = (4 * np.searchsorted(offsets, starts)).tolist()
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    @staticmethod
+    def _plain(chunk: str) -> tuple[str, str]:
+        """A chunk that has the same ids, and one punctuation mark at its end, a token of its own."""
+        if chunk.isascii() and "<|" not in chunk:  # else special strings, and letters with rules of their own
+            chunk = chunk.lower()
+            if len(chunk) > 1 and chunk[-1] in ".,!?" and chunk[-2].isalpha():
+                return chunk[:-1], chunk[-1]
+        return chunk, ""
+
+    def _learn(self, new: list[str]) -> None:
+        known, plain = self.known, [self._plain(c) for c in new]
+        missing = list({p for pair in plain for p in pair} - known.keys())
+        for k in range(0, len(missing), 5_000):
+            known.update(zip(missing[k:k + 5_000], self._encode(missing[k:k + 5_000]), strict=True))
+        known.update((c, known[word] + known[mark]) for c, (word, mark) in zip(new, plain, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -65,8 +88,7 @@ class ChunkTokenizer:
             self.known.clear()
             self.known[""] = b""
             new = [c for c in set().union(*parts) if c]
-        for k in range(0, len(new), 20_000):
-            self.known.update(zip(new[k:k + 20_000], self._encode(new[k:k + 20_000]), strict=True))
+        self._learn(new)
         known = self.known
         return [b"".join([known[c] for c in chunks]) for chunks in parts]
 
@@ -161,27 +183,39 @@ def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Iterator[tu
                 yield times, dict(zip(lengths[some].tolist(), each.tolist(), strict=True))
 
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Longest first, each where the least room remains."""
-    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_rooms = np.zeros(capacity + 1, dtype=bool)
-    sequences: list[dict[int, int]] = []
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> Plan:
+    """Longest first, each where the least room remains; equal sequences are filled together.
+
+    A length changes at most two runs of sequences in part, so the work depends on the
+    number of lengths, not of pieces.
+    """
+    runs: list[list[tuple[int, dict[int, int]]]] = [[] for _ in range(capacity + 1)]
+    has_runs = np.zeros(capacity + 1, dtype=bool)
+
+    def put(room: int, times: int, used: dict[int, int]) -> None:
+        if times:
+            runs[room].append((times, used))
+            has_runs[room] = True
+
     for length, count in zip(lengths[::-1].tolist(), left[::-1].tolist(), strict=True):
         while count:
-            gap = int(open_rooms[length:].argmax()) + length
-            if open_rooms[gap]:
-                number = rooms[gap].pop()
-                open_rooms[gap] = bool(rooms[gap])
+            room = int(has_runs[length:].argmax()) + length
+            if has_runs[room]:
+                times, used = runs[room].pop()
+                has_runs[room] = bool(runs[room])
             else:
-                gap, number = capacity, len(sequences)
-                sequences.append({})
-            # Equal pieces fill a sequence together only while no better gap can arise: it is then the smallest.
-            fits = min(count, gap // length)
-            sequences[number][length] = sequences[number].get(length, 0) + fits
-            count -= fits
-            rooms[gap - fits * length].append(number)
-            open_rooms[gap - fits * length] = True
-    return sequences
+                room, times, used = capacity, -(-count // (capacity // length)), {}
+            each = room // length
+            whole = min(times, count // each)
+            put(room - each * length, whole, {**used, length: each})
+            count -= whole * each
+            times -= whole
+            if times and count:  # fewer than fill one more sequence
+                put(room - count * length, 1, {**used, length: count})
+                times, count = times - 1, 0
+            put(room, times, used)
+    found = [run for same in runs for run in same]
+    return Plan([used for _, used in found], [times for times, _ in found])
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
@@ -197,7 +231,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> P
         uses.append(used)
         repeats.append(times)
     rest = best_fit(lengths, left, capacity)
-    return Plan(uses + rest, repeats + [1] * len(rest))
+    return Plan(uses + rest.uses, repeats + rest.repeats)
 
 
 def plan_rows(made: Plan) -> pd.DataFrame:
@@ -248,7 +282,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1)
     table = table.withColumn("slice", F.explode(F.sequence(F.floor(F.col("first") / width),
                                                            F.floor((F.col("stop") - 1) / width))))
     ranked = ranked.withColumn("slice", F.floor(F.col("rank") / width))
-    # At most ROUNDS runs for each length, and the last few sequences.
+    # At most ROUNDS runs for each length, and what is filled best fit.
     placed = ranked.join(F.broadcast(table), ["length", "slice"]).where(
         (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
     nth = F.col("rank") - F.col("first")

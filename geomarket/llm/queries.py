@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from geomarket.llm.decontaminate import judge_documents
+from geomarket.llm.packing import pack
 from geomarket.llm.tables import documents
 from geomarket.llm.token_counts import count_documents
 
@@ -22,3 +24,39 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 @query
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return count_documents(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_documents(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+# Windows by string joins, against hashes in the operator.
+ORACLE["op5_decontamination"] = r"""
+with words as (
+  select 'd' as kind, cast(doc_id as varchar) as id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', cast(item_id as varchar), null,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+items as (
+  select distinct id as item, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as win
+  from words, unnest(range(1, len(w) - least(10, len(w)) + 2)) as t(i) where kind = 'b' and len(w) > 0),
+sizes as (select distinct n from items),
+spots as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as win
+  from words, sizes, unnest(range(1, len(w) - n + 2)) as t(i) where kind = 'd' and len(w) >= n),
+hits as (select doc_id, n, i, item from spots join items using (n, win)),
+hit_words as (select doc_id, count(distinct j) as n_hit from hits, unnest(range(i, i + n)) as t(j) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words d left join hit_words using (doc_id) left join named using (doc_id) where kind = 'd'"""
