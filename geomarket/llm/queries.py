@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from geomarket.llm import quality
 from geomarket.llm.decontaminate import judge_documents
 from geomarket.llm.packing import pack
 from geomarket.llm.tables import documents
@@ -60,3 +61,8 @@ named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from words d left join hit_words using (doc_id) left join named using (doc_id) where kind = 'd'"""
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge_documents(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
