@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomarket.llm import quality
+from geomarket.llm import jaccard, quality, sharding, toxicity, url_filter
 from geomarket.llm.decontaminate import judge_documents
 from geomarket.llm.packing import pack
 from geomarket.llm.tables import documents
@@ -66,3 +66,35 @@ from words d left join hit_words using (doc_id) left join named using (doc_id) w
 @query
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge_documents(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+@query
+def op9_extendible_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf))
+
+
+# The shortest prefix whose sum fits, tried at every depth. No row of these tables is above the limit.
+ORACLE["op9_extendible_sharding"] = """
+with d as (
+  select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes,
+    lpad(bin(cast('0x' || left(md5(coalesce(cast(doc_id as varchar), '')), 15) as bigint)), 60, '0') as bits
+  from documents),
+p as (select doc_id, n_bytes, left(bits, depth) as shard, depth,
+    sum(n_bytes) over (partition by left(bits, depth)) as total from d, unnest(range(0, 40)) as t(depth))
+select doc_id, n_bytes, arg_min(shard, depth) as shard, cast(min(depth) as int) as shard_depth, false as oversized
+from p where total <= 16777216 group by doc_id, n_bytes"""
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.judge_documents(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf))
