@@ -45,3 +45,14 @@ def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key, an unsigned 64-bit hash, may be in the set; the low bits are those ``collected_bits`` uses."""
     at = keys & np.uint64(BLOOM_BITS - 1)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def maybe_rows(df: DataFrame, key: Column, bits: np.ndarray) -> DataFrame:
+    """The rows whose key may be in the set; the set is broadcast, 2 MB at most."""
+    words = np.flatnonzero(bits)
+    table = df.sparkSession.createDataFrame(
+        list(zip(words.tolist(), bits[words].view(np.int64).tolist(), strict=True)), "bloom_word int, bloom_mask long")
+    at = F.pmod(key, F.lit(BLOOM_BITS))
+    found = df.withColumns({"bloom_word": (at / 64).cast("int"), "bloom_bit": (at % 64).cast("int")})
+    return found.join(F.broadcast(table), "bloom_word").where(
+        F.expr("shiftrightunsigned(bloom_mask, bloom_bit) & 1L") == 1).drop("bloom_word", "bloom_bit", "bloom_mask")
