@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from geomarket.llm import jaccard, quality, sharding, toxicity, url_filter
 from geomarket.llm.decontaminate import judge_documents
 from geomarket.llm.packing import pack
+from geomarket.llm.pii import find_personal_data
 from geomarket.llm.suffix_dedup import remove_repeats
 from geomarket.llm.tables import documents
 from geomarket.llm.token_counts import count_documents
@@ -104,3 +105,8 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(documents(spark, sf))
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf))
