@@ -72,14 +72,14 @@ def _listings(parts: DataFrame, repeated: Column, surcharge: float) -> DataFrame
 
 
 def listings_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    feed = _listings(table(spark, sf_dir, "part").where(key % 10 < 7), key % 20 == 0, 0.0)
+    """Every part as a listing of the first feed."""
+    feed = _listings(table(spark, sf_dir, "part"), F.col("p_partkey") % 20 == 0, 0.0)
     return feed.withColumn("api_call_no", (F.col("zpid") % 13 + F.col("rep")).cast("int")).drop("rep")
 
 
 def listings_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    feed = _listings(table(spark, sf_dir, "part").where(key % 10 >= 4), key % 25 == 9, 1.0)
+    """Every part as a listing of the second feed."""
+    feed = _listings(table(spark, sf_dir, "part"), F.col("p_partkey") % 25 == 9, 1.0)
     return (
         feed.withColumn("page", (F.col("zpid") % 28 + 1 + F.col("rep")).cast("int"))
         .drop("rep")
@@ -87,6 +87,12 @@ def listings_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def split_feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two feeds that share some listings: what merging them is about. Together they hold every part."""
+    digit = F.col("zpid") % 10
+    return listings_a(spark, sf_dir).where(digit < 7), listings_b(spark, sf_dir).where(digit >= 4)
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(

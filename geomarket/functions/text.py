@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed patterns: a bracketed pair of signed decimals, and the text inside a WKT double bracket.
+# Fixed pattern: a bracketed pair of signed decimals.
 PAIR_PATTERN = r"\[(-?\d+(?:\.\d+)?, ?-?\d+(?:\.\d+)?)\]"
-WKT_BODY_PATTERN = r".*\(\((.*)\)\)"
 
 
 def year_month(date: Column) -> Column:
@@ -25,8 +24,10 @@ def search_string(first: Column, second: Column, separator: str = " ") -> Column
     return F.concat(five_places(first), F.lit(separator), five_places(second))
 
 
-def wkt_coordinates(wkt: Column) -> Column:
-    return F.regexp_replace(wkt, WKT_BODY_PATTERN, "$1")
+def wkt_rings(wkt: Column) -> Column:
+    """The coordinates of every ring, of all parts and holes, in the order of the text."""
+    innermost = F.regexp_extract_all(wkt, F.lit(r"\(([^()]*)\)"), F.lit(1))
+    return F.transform(innermost, lambda ring: F.trim(ring))
 
 
 def extract_pairs(text: Column) -> Column:
@@ -56,4 +57,6 @@ def whole(value: Column) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    return F.initcap(F.replace(value, F.lit("_"), F.lit(" ")))
+    """Underscores become spaces; of every run of letters the first is a capital, the others are small."""
+    runs = F.regexp_extract_all(F.replace(value, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda run: F.initcap(run)), "")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from geomarket import schema
 from geomarket.functions import text
 
+# What each kind of bathroom counts for.
+BATH_WEIGHTS = {"bath_full": 1.0, "bath_half": 0.5, "bath_3qtr": 1.0}
+
 
 def with_price_per_sqft(sales: DataFrame, price: str = "sale_price", area: str = "sqft") -> DataFrame:
     """Ratio column; null where the area is zero or missing."""
@@ -33,7 +38,8 @@ def with_listing_ppsf(listings: DataFrame) -> DataFrame:
 
 def with_baths(sales: DataFrame) -> DataFrame:
     """Weighted bath count; any missing part makes it null."""
-    return sales.withColumn("baths", F.col("bath_full") * 1 + F.col("bath_3qtr") + F.col("bath_half") * 0.5)
+    weighted = [F.col(column) * weight for column, weight in BATH_WEIGHTS.items()]
+    return sales.withColumn("baths", reduce(add, weighted))
 
 
 def align_union(first: DataFrame, second: DataFrame, renames: Mapping[str, str]) -> DataFrame:
@@ -75,3 +81,8 @@ def flag_duplicates(df: DataFrame, key: str) -> DataFrame:
         df.join(repeated, F.col(key).eqNullSafe(F.col("_key")), "left")
         .withColumn("dup", F.col("_n").isNotNull()).drop("_key", "_n")
     )
+
+
+def duplicate_records(df: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs more than once, ordered by it."""
+    return flag_duplicates(df, key).where("dup").drop("dup").orderBy(key)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from geomarket.operators.clean import with_baths
 from geomarket.operators.quantiles import quantiles
 
+# The labels of the two series.
+ALL_AREAS, FILTERED_AREA = "All areas", "Filtered area"
+
 
 def monthly_medians(sales: DataFrame, *, exact: bool = False) -> DataFrame:
     """Per month: median price per area, and the number of sales with a known area."""
@@ -30,7 +33,7 @@ def monthly_sales(sales: DataFrame, in_area: Column, *, exact: bool = False) ->
     return quantiles(
         labelled, "price_per_sqft", {"median_price_per_sqft": 0.5}, exact=exact, by=["year_month", "location"],
         extra=[F.count("sqft").alias("observations")], bounded_groups=True,
-    )
+    ).orderBy("year_month", "location")
 
 
 def recent_sales(sales: DataFrame, n: int = 20) -> DataFrame:

@@ -33,7 +33,7 @@ _FIXTURES = {
           'https://img.example/' || cast(p_partkey as string) as imgSrc,
           cast(p_partkey%13 + rep as int) as api_call_no, cast(p_partkey*2 + rep as bigint) as pos
         from part cross join (select 0 as rep union all select 1 as rep) r
-        where p_partkey%10 < 7 and (rep = 0 or p_partkey%20 = 0)""",
+        where rep = 0 or p_partkey%20 = 0""",
     "fx_listings_b": """
         select p_partkey as zpid, p_retailprice*500e0 + p_size*1000e0 + 1e0 as price,
           cast(p_size%6 as int) as bedrooms,
@@ -44,7 +44,7 @@ _FIXTURES = {
           'https://img.example/' || cast(p_partkey as string) as imgSrc,
           cast(1 + p_partkey%28 + rep as int) as page, cast(p_partkey*2 + rep as bigint) as pos
         from part cross join (select 0 as rep union all select 1 as rep) r
-        where p_partkey%10 >= 4 and (rep = 0 or p_partkey%25 = 9)""",
+        where rep = 0 or p_partkey%25 = 9""",
     "fx_places": """
         select s_suppkey as fsq_id, s_name as name,
           cast(s_suppkey as string) || ' Example St, NATION_' || cast(s_nationkey as string) as formatted_address,
@@ -79,10 +79,10 @@ _FIXTURES = {
         from fx_places p cross join (values (0), (1)) r(again) where again = 0 or fsq_id%3 = 0""",
     "merged": """
         select zpid, price, bedrooms, bathrooms, livingArea, propertyType, listingStatus, latitude, longitude, imgSrc,
-          pos, cast(1 as int) as feed from fx_listings_a
+          pos, cast(1 as int) as feed from fx_listings_a where zpid%10 < 7
         union all
         select zpid, price, bedrooms, bathrooms, livingArea, homeType, homeStatus, latitude, longitude, imgSrc,
-          pos, cast(2 as int) from fx_listings_b""",
+          pos, cast(2 as int) from fx_listings_b where zpid%10 >= 4""",
     "monthly": """
         select year_month, quantile_disc(price_per_sqft, 0.5) as median_price_per_sqft, count(sqft) as observations
         from priced group by year_month""",
@@ -296,6 +296,9 @@ ORACLE: dict[str, str] = {
     "align_feeds": _with("merged", "select * from merged"),
     "flag_duplicates": _with("fx_listings_b", """
         select zpid, pos, page, price, count(*) over (partition by zpid) > 1 as dup from fx_listings_b"""),
+    "duplicate_records": _with("fx_listings_b", """
+        select zpid, pos, page, price from fx_listings_b
+        where zpid in (select zpid from fx_listings_b group by zpid having count(*) > 1)"""),
     "dedupe_listings": _with("merged", """
         select * from merged qualify row_number() over (partition by zpid order by feed, pos) = 1"""),
     "listings_table": _with("merged", f"""
@@ -441,8 +444,8 @@ ORACLE: dict[str, str] = {
         select name, string_agg(cast(round(y, 5) as varchar) || ' ' || cast(round(x, 5) as varchar), ',' order by seq) as area
         from fx_vertices group by name"""),
     "wkt_coords": _with("fx_vertices", """
-        select name, string_agg(cast(round(x, 5) as varchar) || ' ' || cast(round(y, 5) as varchar), ', ' order by seq)
-          as coordinates from fx_vertices group by name"""),
+        select name, cast(0 as int) as ring,
+          string_agg(cast(round(x, 5) as varchar) || ' ' || cast(round(y, 5) as varchar), ', ' order by seq) as coordinates from fx_vertices group by name"""),
     "extract_coords": _with("fx_chat", """
         select event_id, cast(1 as int) as pairs, text[strpos(text, '[') + 1:strpos(text, ']') - 1] as first_pair
         from fx_chat"""),

@@ -16,11 +16,11 @@ from geomarket.sources import geojson
 
 @dataclass(frozen=True)
 class Selection:
-    """What the user picked; the first month offered is the default of the page."""
+    """What the user picked; what is not given does not filter."""
 
     beds_min: int | None = None
     beds_max: int | None = None
-    month_min: int | None = 202201
+    month_min: int | None = None
     month_max: int | None = None
     price_min: int | None = None
     price_max: int | None = None

@@ -324,7 +324,7 @@ def rebase_sales(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def align_feeds(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.align_feeds(fx.listings_a(spark, sf), fx.listings_b(spark, sf))
+    return clean.align_feeds(*fx.split_feeds(spark, sf))
 
 
 @query
@@ -332,9 +332,14 @@ def flag_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return clean.flag_duplicates(fx.listings_b(spark, sf), "zpid").select("zpid", "pos", "page", "price", "dup")
 
 
+@query
+def duplicate_records(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.duplicate_records(fx.listings_b(spark, sf), "zpid").select("zpid", "pos", "page", "price")
+
+
 @query
 def dedupe_listings(spark: SparkSession, sf: str) -> DataFrame:
-    both = clean.align_feeds(fx.listings_a(spark, sf), fx.listings_b(spark, sf))
+    both = clean.align_feeds(*fx.split_feeds(spark, sf))
     return clean.first_per_key(both, ["zpid"], ["feed", "pos"])
 
 
@@ -346,7 +351,7 @@ def dedupe_places(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def listings_table(spark: SparkSession, sf: str) -> DataFrame:
-    table = acquisition.listings_table(fx.listings_a(spark, sf), fx.listings_b(spark, sf))
+    table = acquisition.listings_table(*fx.split_feeds(spark, sf))
     return table.withColumn("corners", F.size("boundary")).drop("boundary")
 
 
@@ -563,7 +568,7 @@ def search_area(spark: SparkSession, sf: str) -> DataFrame:
 def wkt_coords(spark: SparkSession, sf: str) -> DataFrame:
     ring = F.transform(F.col("rings")[0], lambda p: text.search_string(p["x"], p["y"]))
     wkt = F.concat(F.lit("POLYGON (("), F.array_join(ring, ", "), F.lit("))"))
-    return _districts(spark, sf).select("name", text.wkt_coordinates(wkt).alias("coordinates"))
+    return _districts(spark, sf).select("name", F.posexplode(text.wkt_rings(wkt)).alias("ring", "coordinates"))
 
 
 @query
@@ -605,7 +610,10 @@ def stream_monthly_counts(spark: SparkSession, sf: str) -> DataFrame:
     table, checkpoint = scratch_path(spark, "daily-counts"), scratch_path(spark, "stream-state")
     monthly_stream.start_daily_counts(
         _sales_stream(spark, sf), table, checkpoint, lateness="3650 days").awaitTermination()
-    return monthly_stream.monthly_counts(spark, table)
+    undated = scratch_path(spark, "undated-counts")
+    monthly_stream.start_undated_counts(
+        _sales_stream(spark, sf), undated, scratch_path(spark, "stream-state")).awaitTermination()
+    return monthly_stream.monthly_counts(spark, table, undated)
 
 
 @query

@@ -10,31 +10,37 @@ _GEOMETRY = "struct<type:string,coordinates:string>"
 
 
 def read_polygons(spark: SparkSession, path: str, name_field: str, *, lines: bool = True) -> DataFrame:
-    """``name``, ``part``, ``rings`` per polygon part.
+    """``name``, ``part``, ``rings`` and ``properties`` per polygon part.
 
-    ``lines=True`` reads one feature per line, which splits across tasks;
-    ``lines=False`` reads FeatureCollection documents, one task per document.
+    A record is a feature or a FeatureCollection. ``lines=True`` reads one record per
+    line, which splits across tasks; ``lines=False`` reads documents of any layout, one
+    task per document. A record that is no JSON, or neither form, or holds another kind
+    of geometry than polygons, fails the read; features without a geometry have no part.
     """
     feature = f"geometry {_GEOMETRY}, properties map<string,string>"
-    if lines:
-        features = spark.read.schema(feature).json(path).select("geometry", "properties")
-    else:
-        whole = f"features array<struct<geometry:{_GEOMETRY},properties:map<string,string>>>"
-        features = (
-            spark.read.schema(whole).option("multiLine", True).json(path)
-            .select(F.explode("features").alias("_f")).select("_f.geometry", "_f.properties")
-        )
-    text = F.col("geometry.coordinates")
-    single = F.array(F.from_json(text, _RINGS))
-    multi = F.from_json(text, f"array<{_RINGS}>")
-    parts = F.when(F.col("geometry.type") == "MultiPolygon", multi).otherwise(single)
+    records = (
+        spark.read.schema(f"type string, features array<struct<{_colons(feature)}>>, {feature}")
+        .options(multiLine=not lines, mode="FAILFAST").json(path)
+    )
+    known = F.when(F.col("type") == "FeatureCollection", F.col("features")).when(
+        F.col("type") == "Feature", F.array(F.struct("geometry", "properties"))).otherwise(
+        F.raise_error(F.concat(F.lit("not a feature or a collection: "), F.coalesce("type", F.lit("no type")))))
+    features = records.select(F.explode(known).alias("_f")).select("_f.geometry", "_f.properties")
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    parts = F.when(kind == "MultiPolygon", F.from_json(text, f"array<{_RINGS}>")).when(
+        kind == "Polygon", F.array(F.from_json(text, _RINGS))).when(
+        kind.isNotNull(), F.raise_error(F.concat(F.lit("not a polygon: "), kind)))
     return (
-        features.where(F.col("geometry.type").isin("Polygon", "MultiPolygon"))
-        .select(F.col("properties")[name_field].alias("name"), F.posexplode(parts).alias("part", "_rings"))
-        .select("name", "part", F.transform("_rings", _points).alias("rings"))
+        features.select(F.col("properties")[name_field].alias("name"), "properties", F.posexplode(parts).alias("part", "_rings"))
+        .select("name", "part", F.transform("_rings", _points).alias("rings"), "properties")
     )
 
 
+def _colons(columns: str) -> str:
+    """Columns of a table as fields of a struct."""
+    return columns.replace("geometry ", "geometry:").replace("properties ", "properties:")
+
+
 def _points(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 

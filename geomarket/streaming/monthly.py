@@ -40,17 +40,31 @@ def start_daily_counts(sales: DataFrame, table: str, checkpoint: str, *, latenes
     )
 
 
-def monthly_counts(spark: SparkSession, table: str) -> DataFrame:
-    """Months added up from each day's latest state."""
+def start_undated_counts(sales: DataFrame, table: str, checkpoint: str):
+    """Count the sales without a date, which belong to no window, batch by batch."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.where("sale_date is null").agg(F.count("*").alias("sales"), F.count("sqft").alias("observations"))
+        counts.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return (
+        sales.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def monthly_counts(spark: SparkSession, table: str, undated: str | None = None) -> DataFrame:
+    """Months added up from each day's latest state; with ``undated`` also the month null, if there are such sales."""
     layout = "day date, sales bigint, observations bigint, batch bigint"
     latest = (
         spark.read.schema(layout).parquet(table).groupBy("day")
         .agg(F.max_by("sales", "batch").alias("sales"), F.max_by("observations", "batch").alias("observations"))
     )
-    return (
-        clean.with_year_month(latest, "day").groupBy("year_month")
-        .agg(F.sum("sales").alias("sales"), F.sum("observations").alias("observations"))
-    )
+    days = clean.with_year_month(latest, "day").select("year_month", "sales", "observations")
+    if undated is not None:
+        counts = spark.read.schema("sales bigint, observations bigint").parquet(undated).where("sales > 0")
+        days = days.unionByName(counts.select(F.lit(None).cast("int").alias("year_month"), "sales", "observations"))
+    return days.groupBy("year_month").agg(F.sum("sales").alias("sales"), F.sum("observations").alias("observations"))
 
 
 def start_monthly_medians(sales: DataFrame, land: str, table: str, checkpoint: str):
@@ -63,11 +77,14 @@ def start_monthly_medians(sales: DataFrame, land: str, table: str, checkpoint: s
         spark = batch.sparkSession
         rows = clean.with_year_month(clean.with_price_per_sqft(batch)).select("year_month", "price_per_sqft", "sqft")
         rows.write.mode("overwrite").partitionBy("year_month").parquet(f"{land}/batch={batch_id}")
-        # At most one entry per calendar month.
+        # At most one entry per calendar month, and one for sales without a date.
         months = [r["year_month"] for r in rows.select("year_month").distinct().collect()]
+        touched = F.col("year_month").isin([m for m in months if m is not None])
+        if None in months:
+            touched = F.col("year_month").isNull() | touched
         layout = "price_per_sqft double, sqft double, batch bigint, year_month int"
         landed = spark.read.schema(layout).parquet(land)
-        landed = landed.where((F.col("batch") <= batch_id) & F.col("year_month").isin(months))
+        landed = landed.where((F.col("batch") <= batch_id) & touched)
         trends.monthly_medians(landed, exact=True).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return (

@@ -121,18 +121,34 @@ def test_series_for_all_and_for_the_area(spark):
         assert got == [(202101, "All areas", 100.0, 1), (202101, "Filtered area", 100.0, 1), (202102, "All areas", 200.0, 1)]
 
 
+def test_the_series_is_in_month_order(spark):
+    df = sales(spark, [(m, 100.0, 1.0) for m in (202109, 199803, 202101, 200002, 202012)])
+    got = [(r["year_month"], r["location"]) for r in trends.monthly_sales(df, F.lit(True), exact=True).collect()]
+    assert got == sorted(got) and len(got) == 10
+
+
+def test_duplicate_records_are_ordered(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "b"), (3, "c"), (2, "d"), (1, "e"), (None, "f"), (None, "g")], "k int, v string")
+    got = [(r["k"], r["v"]) for r in clean.duplicate_records(df, "k").collect()]
+    assert [k for k, _ in got] == [None, None, 1, 1, 3, 3] and {v for _, v in got} == set("bceafg")
+
+
 def test_text_helpers(spark):
     row = spark.range(1).select(
         text.five_places(F.lit(47.2)).alias("a"), text.five_places(F.lit(-122.123456)).alias("b"),
         text.five_places(F.lit(3.0)).alias("c"),
-        text.wkt_coordinates(F.lit("POLYGON ((1 2, 3 4, 1 2))")).alias("wkt"),
+        text.wkt_rings(F.lit("POLYGON ((1 2, 3 4, 1 2))")).alias("wkt"),
+        text.wkt_rings(F.lit("MULTIPOLYGON (((0 0, 4 0, 0 4),( 1 1, 2 1, 1 2 )), ((5 5, 6 5, 5 6)))")).alias("parts"),
+        text.title_case(F.lit("3BR_O'NEIL_HOME")).alias("home"),
         text.extract_pairs(F.lit("at [47.6, -122.3] and [1, 2], not [x, 3]")).alias("pairs"),
         text.pairs_to_records(F.array(F.lit("47.6, -122.3"))).alias("records"),
         text.title_case(F.lit("SINGLE_FAMILY")).alias("title"),
         text.thousands(F.lit(1234567.5)).alias("money"), text.whole(F.lit(2.5)).alias("even"),
     ).first()
     assert (row["a"], row["b"], row["c"]) == ("47.2", "-122.12346", "3.0")
-    assert row["wkt"] == "1 2, 3 4, 1 2"
+    assert row["wkt"] == ["1 2, 3 4, 1 2"]
+    assert row["parts"] == ["0 0, 4 0, 0 4", "1 1, 2 1, 1 2", "5 5, 6 5, 5 6"]
+    assert row["home"] == "3Br O'Neil Home"
     assert row["pairs"] == ["47.6, -122.3", "1, 2"]
     assert row["records"][0].asDict() == {"lat": 47.6, "lng": -122.3}
     assert (row["title"], row["money"], row["even"]) == ("Single Family", "1,234,568", "2")

@@ -47,7 +47,7 @@ def test_polygon_documents(spark, tmp_path):
     features = [
         {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [square, shift]}, "properties": {"NAME": "one", "n": 3}},
         {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[square], [shift]]}, "properties": {"NAME": "two"}},
-        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1.0, 2.0]}, "properties": {"NAME": "none"}},
+        {"type": "Feature", "geometry": None, "properties": {"NAME": "none"}},
     ]
     (tmp_path / "whole.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
     (tmp_path / "lines.geojsonl").write_text("\n".join(json.dumps(f) for f in features))
@@ -55,10 +55,23 @@ def test_polygon_documents(spark, tmp_path):
     lines = geojson.read_polygons(spark, str(tmp_path / "lines.geojsonl"), "NAME")
     got = sorted((r["name"], r["part"], len(r["rings"])) for r in whole.collect())
     assert got == [("one", 0, 2), ("two", 0, 1), ("two", 1, 1)]
-    assert sorted(whole.collect()) == sorted(lines.collect())
+    assert sorted(map(str, whole.collect())) == sorted(map(str, lines.collect()))
+    (tmp_path / "one-line.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    one_line = geojson.read_polygons(spark, str(tmp_path / "one-line.geojson"), "NAME")
+    assert sorted(map(str, one_line.collect())) == sorted(map(str, lines.collect()))
+    assert {r["name"]: r["properties"] for r in lines.collect()}["one"] == {"NAME": "one", "n": "3"}
     assert polygons.polygon_vertices(whole.where("part = 1"), "name").count() == 4
 
 
+@pytest.mark.parametrize("record", [
+    '{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1.0, 2.0]}, "properties": {}}',
+    '{"type": "Topology", "objects": {}}', '{"type": "FeatureCollection",', "{}"])
+def test_other_records_fail_the_read(spark, tmp_path, record):
+    (tmp_path / "odd.geojsonl").write_text(record)
+    with pytest.raises(Exception, match="not a|MALFORMED|Malformed|FAILFAST"):
+        geojson.read_polygons(spark, str(tmp_path / "odd.geojsonl"), "NAME").collect()
+
+
 def test_collection_documents(spark, small_dir):
     listings = clean.with_listing_ppsf(cells.with_cell(fx.listings_a(spark, small_dir), "latitude", "longitude"))
     layer = dashboard.cell_layer(listings)

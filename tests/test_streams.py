@@ -109,3 +109,25 @@ def test_medians_over_batches(spark, small_dir, tmp_path):
     ).awaitTermination()
     expected = trends.monthly_medians(clean.with_year_month(clean.with_price_per_sqft(sales)), exact=True)
     assert rows(monthly_stream.latest_medians(spark, f"{tmp_path}/medians")) == rows(expected)
+
+
+def test_sales_without_a_date_are_kept(spark, small_dir, tmp_path):
+    sales = fx.sales(spark, small_dir).withColumn("sale_date", F.expr("if(year_built % 7 = 0, null, sale_date)"))
+    sales.repartition(3, F.rand(3)).write.parquet(f"{tmp_path}/sales")
+    start = dict(lateness="4000 days")
+    monthly_stream.start_daily_counts(
+        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/days", f"{tmp_path}/a", **start).awaitTermination()
+    monthly_stream.start_undated_counts(
+        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/undated", f"{tmp_path}/b").awaitTermination()
+    monthly_stream.start_monthly_medians(
+        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/land", f"{tmp_path}/medians", f"{tmp_path}/c").awaitTermination()
+
+    def by_month(df):
+        return {r["year_month"]: r.asDict() for r in df.collect()}
+
+    expected = by_month(clean.with_year_month(sales).groupBy("year_month").agg(
+        F.count("*").alias("sales"), F.count("sqft").alias("observations")))
+    assert None in expected
+    assert by_month(monthly_stream.monthly_counts(spark, f"{tmp_path}/days", f"{tmp_path}/undated")) == expected
+    medians = trends.monthly_medians(clean.with_year_month(clean.with_price_per_sqft(sales)), exact=True)
+    assert by_month(monthly_stream.latest_medians(spark, f"{tmp_path}/medians")) == by_month(medians)
