@@ -53,27 +53,29 @@ def sentences(chunk: Chunk) -> Sentences:
 
 
 def ngrams(chunk: Chunk, found: Sentences) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence and bucket of each n-gram of lower-case bytes; what is no word character counts as a space."""
-    plain = np.where(ALPHANUMERIC[chunk.data], chunk.data, 32).astype(np.uint64)
+    """Sentence and bucket of each n-gram of lower-case bytes.
+
+    What is no word character counts as a space, and so does what stands around a sentence.
+    """
+    n = len(chunk.data) + chunk.rows + 1
+    at = np.arange(len(chunk.data)) + np.repeat(np.arange(1, chunk.rows + 1), np.diff(chunk.offsets))
+    plain = np.full(n, 32, dtype=np.uint64)
+    plain[at] = np.where(ALPHANUMERIC[chunk.data], chunk.data, 32)
     upper = (plain >= 65) & (plain <= 90)
     plain[upper] += np.uint64(32)
-    # A space on each side of a sentence: its words have ends there too.
-    n = len(plain)
-    owner = np.full(n, -1, dtype=np.int64)
-    owner[found.start] = 1
-    sentence = np.cumsum(owner == 1) - 1
-    sentence[_ENDS[chunk.data]] = -1
+    begins = np.zeros(len(chunk.data), dtype=np.int64)
+    begins[found.start] = 1
+    sentence = np.full(n, -1, dtype=np.int64)
+    sentence[at] = np.where(_ENDS[chunk.data], -1, np.cumsum(begins) - 1)
     if n < NGRAM:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     code = np.zeros(n - NGRAM + 1, dtype=np.uint64)
     for k in range(NGRAM):
         code = (code << np.uint64(8)) | plain[k:n - NGRAM + 1 + k]
-    # The first or last byte may be the end before or after the sentence, never both nor another text's.
-    middle = sentence[NGRAM // 2:n - NGRAM // 2]
-    inner = sentence[1:n - NGRAM + 2], sentence[NGRAM - 2:n - 1]
-    text = np.repeat(np.arange(chunk.rows), np.diff(chunk.offsets))
-    good = (middle >= 0) & (inner[0] == middle) & (inner[1] == middle) & (text[:n - NGRAM + 1] == text[NGRAM - 1:])
-    return middle[good], (mix(code[good]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    # The first and last byte may be the ends around the sentence; what is between is in it.
+    second, last = sentence[1:n - NGRAM + 2], sentence[NGRAM - 2:n - 1]
+    good = (second >= 0) & (second == last)
+    return second[good], (mix(code[good]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def training_rows(labels: DataFrame) -> Column:
@@ -198,7 +200,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for chunk in chunks(batch.column(batch.schema.names.index(text))):
             found, z = _sentence_scores(chunk, table, model.bias)
             none = np.bincount(found.row, weights=np.logaddexp(0, z), minlength=chunk.rows)
-            scores[chunk.first:chunk.first + chunk.rows] = -np.expm1(-none)
+            scores[chunk.first:chunk.first + chunk.rows] = 0.0 - np.expm1(-none)
         return {"score": pa.array(scores)}
 
     return with_columns(docs, compute, fields(score="double"))
