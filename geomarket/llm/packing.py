@@ -30,7 +30,7 @@ CAPACITY = 4096
 # Rounds of the cover, a knapsack each, and how fast prices fall with what is covered.
 ROUNDS, RATE = 24, 1.0
 # Chunks of text a worker remembers the ids of.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 # Pieces of one length that are numbered in one task.
 NUMBERED = 100_000
 
@@ -45,11 +45,19 @@ class ChunkTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that normalising and splitting leave as they are; a mark ends each word.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        probe = "Ab cd, é 12! <|endoftext|> 's x"
+        probe = "Ab cd, é 12!\nEf <|endoftext|> 's x"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         if b"".join(self.ids([probe])) != np.array(whole, dtype="<u4").tobytes():
             raise ValueError("this tokenizer looks across spaces")
@@ -64,25 +72,37 @@ class ChunkTokenizer:
         data = ids.tobytes()
         return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
-    @staticmethod
-    def _plain(chunk: str) -> tuple[str, str]:
-        """A chunk that has the same ids, and one punctuation mark at its end, a token of its own."""
-        if chunk.isascii() and "<|" not in chunk:  # else special strings, and letters with rules of their own
-            chunk = chunk.lower()
-            if len(chunk) > 1 and chunk[-1] in ".,!?" and chunk[-2].isalpha():
-                return chunk[:-1], chunk[-1]
-        return chunk, ""
+    def _encode_words(self, chosen: list[str]) -> list[bytes]:
+        """The same for words of small letters."""
+        ids = np.array(self.bare.encode(" ".join(chosen), add_special_tokens=False).ids, dtype="<u4")
+        cuts = [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
+        if len(cuts) != len(chosen) + 1:
+            return self._encode(chosen)
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: list[str]) -> None:
-        known, plain = self.known, [self._plain(c) for c in new]
-        missing = list({p for pair in plain for p in pair} - known.keys())
-        for k in range(0, len(missing), 5_000):
-            known.update(zip(missing[k:k + 5_000], self._encode(missing[k:k + 5_000]), strict=True))
-        known.update((c, known[word] + known[mark]) for c, (word, mark) in zip(new, plain, strict=True))
+        known, words, others, made = self.known, set(), [], []
+        for chunk in new:
+            # The text is split between a letter and a mark; letters below U+0250 have one small form.
+            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,!?" else (chunk, "")
+            word = word.lower()
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                if word not in known:
+                    words.add(word)
+                if word != chunk:
+                    made.append((chunk, word, mark))
+            else:
+                others.append(chunk)
+        for encode, chosen in ((self._encode_words, list(words)), (self._encode, [*others, *".,!?"])):
+            for k in range(0, len(chosen), 5_000):
+                known.update(zip(chosen[k:k + 5_000], encode(chosen[k:k + 5_000]), strict=True))
+        known.update([(chunk, known[word] + known[mark]) for chunk, word, mark in made])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.split(" ") for t in texts]
+        # A line break parts words just as a space does.
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
         new = [c for c in set().union(*parts) if c not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
