@@ -5,7 +5,9 @@ order. The first order, rarest tokens first as far as counts tell, makes the can
 two more orders must agree before the sets themselves are compared. Equal sets are one
 node. To keep a large group of near copies from being paired all with all, each prefix
 token first links its documents to the one in which it stands foremost; only pairs that
-these links leave in different groups are then compared.
+these links leave in different groups are then compared. A bitmap of each set, the parity
+of its tokens by hash, bounds the difference of two sets from below and rules out most
+pairs before they leave the join.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from geomarket.llm.words import NOT_SPACE, Chunk, chunks, mix, windows, words
 KNOWN_TOKENS = 1 << 19
 # Least count in one task's block of tokens, and in all, for a token to be known as frequent.
 LEAST_IN_BLOCK, LEAST_COUNT, BLOCK_TOKENS = 3, 24, 2_000_000
+# Bitmaps of 64 bits for each set.
+_MAPS = [f"map{k}" for k in range(4)]
 _SEEDS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 _COUNT_BITS = 20
 
@@ -47,6 +51,10 @@ class Similarity(NamedTuple):
         """Prefix in which a set shares a token with every linked set that is no larger."""
         return np.where(n > 0, n - (self.above * n + self.below - 1) // self.below + 1, 0)
 
+    def difference(self, a: str, b: str) -> str:
+        """SQL for the largest symmetric difference of two linked sets of these sizes."""
+        return f"({a} + {b} - 2 * {self.overlap(a, b)})"
+
     def index(self, n: str) -> str:
         """SQL for the prefix in which it shares one with every linked set that is no smaller."""
         return f"({n} - {self.overlap(n, n)} + 1)"
@@ -83,6 +91,21 @@ def shingle_sets(chunk: Chunk, width: int) -> Sets:
     return Sets(row, token, size, mix(sums[ends] - sums[ends - size] + size.astype(np.uint64)))
 
 
+def bitmaps(sets: Sets) -> list[np.ndarray]:
+    """The parity of the number of tokens in each of 256 buckets, as longs by row."""
+    full = np.flatnonzero(sets.size)
+    begin = (np.cumsum(sets.size) - sets.size)[full]
+    bit = np.uint64(1) << ((sets.token >> np.uint64(56)) & np.uint64(63))
+    word = sets.token >> np.uint64(62)
+    maps = []
+    for k in range(len(_MAPS)):
+        made = np.zeros(len(sets.size), dtype=np.uint64)
+        if len(full):
+            made[full] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begin)
+        maps.append(made)
+    return maps
+
+
 class Order:
     """A global order of tokens: by known count, then by a hash of its own."""
 
@@ -147,7 +170,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefix_table(docs: DataFrame, similarity: Similarity, orders) -> DataFrame:
     """Per row its set's size and node; per node and task, the prefixes in the three orders."""
-    out = fields(doc_id="long", n="long", node="long", first="longs", second="ints", third="ints")
+    out = fields(doc_id="long", n="long", node="long", first="longs", second="ints", third="ints",
+                 **dict.fromkeys(_MAPS, "long"))
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         made = [Order(*orders.value, seed) for seed in _SEEDS]
@@ -166,7 +190,8 @@ def _prefix_table(docs: DataFrame, similarity: Similarity, orders) -> DataFrame:
                 short = lambda tokens: (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield {"doc_id": batch.column(0).slice(chunk.first, chunk.rows), "n": pa.array(sets.size),
                        "node": pa.array(_signed(sets.node), mask=sets.size == 0), "first": _lists(_signed(first), length),
-                       "second": _lists(short(second), length), "third": _lists(short(third), length)}
+                       "second": _lists(short(second), length), "third": _lists(short(third), length),
+                       **{name: pa.array(_signed(made)) for name, made in zip(_MAPS, bitmaps(sets), strict=True)}}
 
     return rows_from(docs.select(F.col("doc_id").cast("long"), "text"), produce, out)
 
@@ -220,6 +245,12 @@ def _near_enough(similarity: Similarity, big: str, small: str) -> Column:
     return F.expr(f"({sizes}) and ({rest})")
 
 
+def _alike(similarity: Similarity, a: str, b: str) -> Column:
+    """The bitmaps differ in no more places than linked sets of these sizes can differ in tokens."""
+    differing = " + ".join(f"bit_count({a}{m} ^ {b}{m})" for m in _MAPS)
+    return F.expr(f"{differing} <= {similarity.difference(a + 'n', b + 'n')}")
+
+
 def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataFrame:
     """Links between nodes whose components are those of all links."""
     rows = prefixes.where(F.size("first") > 0).select("node", "n", F.posexplode("first").alias("pos", "token"))
@@ -238,18 +269,25 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
         F.col("node").alias("a"), F.col("h_node").alias("b"))
     smaller = star.where("n < h_n and indexed").where(_near_enough(similarity, "h_", "")).select(
         F.col("h_node").alias("a"), F.col("node").alias("b"))
-    first_pairs = written(larger.union(smaller).distinct(), "star-pairs")
+    maps = written(prefixes.where(F.size("first") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *_MAPS)]),
+                   "bitmaps")
+    one, other = (maps.select(*[F.col(c).alias(f"{s}_{c}") for c in maps.columns]) for s in "ab")
+    first_pairs = larger.union(smaller).distinct()
+    first_pairs = first_pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node"))
+    first_pairs = written(first_pairs.where(_alike(similarity, "a_", "b_")).select("a", "b"), "star-pairs")
     first_links = _linked(docs, first_pairs, prefixes, similarity)
 
     groups = written(components(first_links), "groups")
     grouped = shared.drop("hub").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grouped.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
         "least <> most").select("token")
-    grouped = written(grouped.join(mixed, "token", "left_semi"), "mixed-tokens")
-    big = grouped.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "pos", "root")])
-    small = grouped.where("indexed").select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "pos", "root")])
+    grouped = written(grouped.join(mixed, "token", "left_semi").join(maps.drop("n"), "node"), "mixed-tokens")
+    kept = ("node", "n", "pos", "root", *_MAPS)
+    big = grouped.select("token", *[F.col(c).alias(f"a_{c}") for c in kept])
+    small = grouped.where("indexed").select("token", *[F.col(c).alias(f"b_{c}") for c in kept])
     pairs = big.join(small, "token").where("a_root <> b_root and (a_n > b_n or a_n = b_n and a_node > b_node)").where(
-        _near_enough(similarity, "a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+        _near_enough(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     tried = first_pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     second_pairs = written(pairs.withColumns({"x": F.greatest("a", "b"), "y": F.least("a", "b")}).join(
         tried, ["x", "y"], "left_anti").select("a", "b"), "second-pairs")

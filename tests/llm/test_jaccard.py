@@ -94,6 +94,17 @@ def test_linked_sets_share_a_prefix_token_in_every_order():
             assert set(first[:length[0]].tolist()) & set(first[length[0]:].tolist())
 
 
+def test_bitmaps_bound_the_difference():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(60))) for _ in range(40)]
+    sets = jaccard.shingle_sets(next(chunks(pa.array(texts))), 3)
+    maps = jaccard.bitmaps(sets)
+    for a in range(40):
+        for b in range(a):
+            differing = sum(int(m[a] ^ m[b]).bit_count() for m in maps)
+            assert differing <= len(shingles(texts[a]) ^ shingles(texts[b]))
+
+
 def test_one_of_each(spark, odd_docs, no_docs):
     kept = jaccard.one_of_each(odd_docs)
     assert kept.schema == odd_docs.schema
