@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from geomarket.llm.graph import components
 from geomarket.llm.tables import collected_bits, maybe_in, maybe_rows, written
-from geomarket.llm.tasks import fields, rows_from
+from geomarket.llm.tasks import fields, rows_from, with_columns
 from geomarket.llm.words import NOT_SPACE, Chunk, chunks, mix, windows, words
 
 # Tokens whose counts the first order knows, at most: all that occur in more documents than some bound.
@@ -302,6 +302,16 @@ def _reduced(similarity: Similarity) -> Similarity:
     return similarity._replace(above=similarity.above // divisor, below=similarity.below // divisor)
 
 
+def _components(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
+    """The set's size and node by row; and by node its smallest id and the root of its component."""
+    orders = docs.sparkSession.sparkContext.broadcast(_frequent(docs, similarity.width))
+    prefixes = written(_prefix_table(docs, similarity, orders), "prefixes")
+    roots = components(links(docs, prefixes, similarity))
+    nodes = prefixes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return prefixes, written(rooted, "components")
+
+
 def near_duplicates(docs: DataFrame, similarity: Similarity = NEAR) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
@@ -310,33 +320,43 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = NEAR) -> DataFrame
     a row without an id belongs to the component of its set, whose id is the smallest
     id in it, or null if none has one. An empty table gives no rows.
     """
-    similarity = _reduced(similarity)
-    spark = docs.sparkSession
-    orders = spark.sparkContext.broadcast(_frequent(docs, similarity.width))
-    prefixes = written(_prefix_table(docs, similarity, orders), "prefixes")
-    roots = components(links(docs, prefixes, similarity))
-    nodes = prefixes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prefixes, rooted = _components(docs, _reduced(similarity))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = written(rooted.join(by_root, "root").select("node", "component_id"), "components")
+    labelled = written(rooted.join(by_root, "root").select("node", "component_id"), "component-ids")
     return prefixes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labelled, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """Each row as ``document``, with the node of its text; null without shingles."""
+    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        nodes = [pa.array([], pa.int64())]
+        for chunk in chunks(batch.column(batch.schema.names.index("text"))):
+            sets = shingle_sets(chunk, width)
+            nodes.append(pa.array(_signed(sets.node), mask=sets.size == 0))
+        return {"node": pa.concat_arrays(nodes)}
+
+    mine = docs.select(F.struct("*").alias("document"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    return with_columns(mine, compute, fields(node="long")).drop("text")
+
+
 def one_of_each(docs: DataFrame, similarity: Similarity = NEAR) -> DataFrame:
     """The documents without their near duplicates: of each component the row with the smallest id stays.
 
-    Rows without shingles all stay. If several rows of a component carry its smallest
-    id, or none has an id, one of them stays.
+    Rows without shingles all stay. If several rows carry the smallest id, or no row of
+    the component has one, one of them stays.
     """
-    found = near_duplicates(docs, similarity)
-    kept = found.where("n_shingles = 0 or doc_id = component_id").select(
-        F.col("doc_id").alias("kept_id"), (F.col("n_shingles") == 0).alias("empty")).distinct()
-    mine = docs.select(F.struct("*").alias("document"), F.col("doc_id").alias("kept_id"),
-                       (~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).alias("empty"))
-    rows = mine.join(kept.withColumnRenamed("kept_id", "k").withColumnRenamed("empty", "e"),
-                     F.col("kept_id").eqNullSafe(F.col("k")) & (F.col("empty") == F.col("e")))
-    nth = F.row_number().over(Window.partitionBy("kept_id", "empty").orderBy(F.lit(1)))
-    return rows.withColumn("nth", nth).where("nth = 1 or empty").select(
-        [F.col("document").getField(c).alias(c) for c in docs.columns])
+    similarity = _reduced(similarity)
+    _, rooted = _components(docs, similarity)
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("kept")).select(
+        F.col("kept.node").alias("kept_node"), F.col("kept.least").alias("kept_id"))
+    # By node and id together, so that the many rows of one text are not brought into one task.
+    rows = _with_nodes(docs, similarity.width).join(
+        kept, (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id")), "left")
+    # Rows without shingles all stay, so they need not meet.
+    spread = F.when(F.col("node").isNull(), F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy("node", "id", "spread").orderBy(F.lit(1)))
+    stay = rows.where("kept_node is not null or node is null").withColumn("spread", spread).withColumn("nth", nth).where(
+        "nth = 1")
+    return stay.select([F.col("document").getField(c).alias(c) for c in docs.columns])
