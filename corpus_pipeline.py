@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from geomarket.llm import decontaminate, jaccard, packing, pii, toxicity
 from geomarket.llm.tables import documents, written
 
+# Near duplicates of this stage: five-word shingles, 0.8 or more. `op10_jaccard_join` has a contract of its own.
+NEAR_COPIES = jaccard.Similarity(above=80, below=100, width=5)
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model, fitted on labelled rows of these documents, does not reject."""
@@ -16,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; documents without words all stay."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR_COPIES)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
