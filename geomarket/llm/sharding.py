@@ -88,6 +88,18 @@ def shard_name(shard: str = "shard") -> Column:
           else concat(lpad(bin({shard}.high), {BITS}, '0'), lpad(bin({shard}.low), {shard}.depth - {BITS}, '0')) end""")
 
 
+def _placed(docs: DataFrame, limit: int, key: str, text: str, carried: list[Column]) -> DataFrame:
+    """Per row: key, n_bytes, its shard's node and the carried columns."""
+    rows = written(docs.select(
+        F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        hash_bits(F.col(key)).alias("hash"),
+        # Frozen by writing: the row number may differ when computed again.
+        F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS).alias("salt"), *carried), "sizes")
+    placed, nodes = _leaves(rows, limit)
+    nodes = written(nodes.select(*_NODE, "bytes"), "leaves")
+    return placed.join(written(directory(nodes, limit), "directory"), _NODE)
+
+
 def shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, n_bytes, shard, shard_depth and oversized.
 
@@ -95,21 +107,19 @@ def shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     each. ``oversized`` marks a single row above the limit, which no split can mend. An
     empty table gives no rows. Other columns are ignored.
     """
-    rows = written(docs.select(
-        F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        hash_bits(F.col(key)).alias("hash"),
-        # Frozen by writing: the row number may differ when computed again.
-        F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS).alias("salt")), "sizes")
-    placed, nodes = _leaves(rows, limit)
-    nodes = written(nodes.select(*_NODE, "bytes"), "leaves")
-    found = placed.join(written(directory(nodes, limit), "directory"), _NODE)
-    return found.select(
+    return _placed(docs, limit, key, text, []).select(
         F.col("key").alias(key), "n_bytes", shard_name().alias("shard"),
         F.col("shard.depth").cast("int").alias("shard_depth"), (F.col("n_bytes") > limit).alias("oversized"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id") -> None:
-    """Write the rows to one folder for each shard; all rows of a key below the limit are in one shard."""
-    placed = shards(docs, limit, key).where(f"length(shard) <= {BITS}").select(key, "shard").distinct()
-    named = docs.join(placed, docs[key].eqNullSafe(placed[key]), "left").drop(placed[key])
-    named.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
+    """Write the rows to one folder for each shard; all rows of a key below the limit are in one shard.
+
+    Each row goes where its own bits put it, so a key above the limit is spread over many
+    shards. A shard that is large all the same, by its other columns or by rows without
+    text, is written by several tasks.
+    """
+    found = _placed(docs, limit, key, text, [F.struct("*").alias("document")])
+    named = found.select(
+        *[F.col("document").getField(c).alias(c) for c in docs.columns], shard_name().alias("shard"))
+    named.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)

@@ -44,3 +44,15 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), limit=300)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 60 and back.select("shard").distinct().count() >= 4
+
+
+def test_a_repeated_key_is_written_to_many_shards(spark, tmp_path):
+    rows = [(7, "x" * 50, k) for k in range(200)] + [(k, "y" * 10, k) for k in range(50)] + [(None, "z" * 50, 0)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=300)
+    back = spark.read.parquet(str(tmp_path / "out")).selectExpr("doc_id", "text", "n", "_metadata.file_path as path").collect()
+    assert Counter((r.doc_id, r.text, r.n) for r in back) == Counter(rows)
+    size = Counter()
+    for r in back:
+        size[r.path.split("/shard=")[1].split("/")[0]] += len(r.text)
+    assert "__HIVE_DEFAULT_PARTITION__" not in size and max(size.values()) <= 300
