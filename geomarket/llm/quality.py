@@ -3,8 +3,7 @@
 Each rule is a ratio, higher for worse texts, on a fixed grid of cutoffs. A cutoff may be
 used in a stratum when the exact binomial test on the stratum's good documents rules out,
 at a level divided by the number of all cutoffs tested, that it rejects more than its share
-of good documents. Of such cutoffs the strictest of those that rejected fewest good documents
-is taken. Only DataFrame functions are used.
+of good documents. Of such cutoffs the strictest is taken. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -115,7 +114,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, rules: list[str] = RULES, gr
         (F.col("k") <= share * F.col("n")) & (F.when(
             F.col("k") <= share * F.col("n"), _log_binomial_tail("k", "n", share)).otherwise(0.0) <= level))
     return safe.groupBy("stratum", "rule").agg(
-        (F.min(F.struct("k", "cutoff")).getField("cutoff") / float(grid)).alias("cutoff"))
+        (F.min("cutoff") / float(grid)).alias("cutoff"))
 
 
 def judge(measured: DataFrame, chosen: DataFrame, rules: list[str] = RULES) -> DataFrame:

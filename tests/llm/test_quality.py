@@ -60,3 +60,13 @@ def test_copies_are_no_evidence(spark):
     table = spark.createDataFrame(rows, "doc_id long, stratum string, text_hash long, base_failed boolean, r double")
     labels = table.selectExpr("doc_id", "1 as quality")
     assert quality.cutoffs(table, labels, rules=["r"]).count() == 0
+
+
+def test_a_few_extreme_good_texts_do_not_lift_a_cutoff(spark):
+    # 12 of 6,000 good texts are extreme; 200 bad ones stand in between.
+    rows = [(k, "a", k, False, 1.0 if k < 12 else 0.05 if k < 6000 else 0.5) for k in range(6200)]
+    table = spark.createDataFrame(rows, "doc_id long, stratum string, text_hash long, base_failed boolean, r double")
+    labels = table.selectExpr("doc_id", "int(doc_id < 6000) as quality")
+    chosen = quality.cutoffs(table, labels, rules=["r"])
+    assert [(c.stratum, c.cutoff) for c in chosen.collect()] == [("a", 0.05)]
+    assert quality.judge(table, chosen, rules=["r"]).where("kept").count() == 5988
