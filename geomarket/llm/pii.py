@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomarket.llm.tables import collected_bits, maybe_in, maybe_rows, written
-from geomarket.llm.tasks import fields, rows_from, with_columns
+from geomarket.llm.tasks import arrow_schema, fields, rows_from, with_columns
 from geomarket.llm.words import ALPHANUMERIC, Chunk, chunks, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -28,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, BITS, BITS_REMOVED = 3, 1.0, 0.15
 # Bytes of a term at least.
 TERM_BYTES = 4
+# Rows of lines with a term or an entity that a task hands on at once.
+BLOCK_ROWS = 100_000
 PLACEHOLDERS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,9 +140,16 @@ def _terms(chunk: Chunk) -> tuple[np.ndarray, ...]:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """Two sorts of rows: base spans of each text, and which term stands in which line with which entity."""
+    """Three sorts of rows: base spans of each text, and the terms and the entities of each line that holds an entity."""
     out = fields(sort="int", key="long", doc="string", base="string", counts="ints", line="long", entity="long", term="long")
 
+    def held(sort: int, line: np.ndarray, name: str, values: np.ndarray) -> Iterator[dict]:
+        for k in range(0, len(line), BLOCK_ROWS):
+            n = len(line[k:k + BLOCK_ROWS])
+            made = {f.name: pa.nulls(n, t) for f, t in zip(out, arrow_schema(out).types, strict=True)}
+            yield made | {"sort": pa.array(np.full(n, sort, np.int32)), "line": pa.array(line[k:k + BLOCK_ROWS]),
+                          name: pa.array(values[k:k + BLOCK_ROWS])}
+
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for k in range(0, len(batch), 1000):
@@ -156,20 +165,15 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                 yield {"sort": pa.array(np.zeros(n, np.int32)), "key": keys, "doc": docs, "base": base,
                        "counts": counts, "line": pa.nulls(n, pa.int64()), "entity": pa.nulls(n, pa.int64()),
                        "term": pa.nulls(n, pa.int64())}
-                rows: list[tuple[int, int, int]] = []
+                hashes = np.array([_hash(line) for line, _ in lines], dtype=np.int64)
                 for chunk in chunks(pa.array([line for line, _ in lines], pa.string())):
                     _, _, row, hashed = _terms(chunk)
                     pairs = np.unique(np.stack([row, hashed.view(np.int64)], axis=1), axis=0)
-                    for r, term in pairs.tolist():
-                        line, entities = lines[chunk.first + r]
-                        rows += [(_hash(line), entity, term) for entity in entities]
-                if rows:
-                    n = len(rows)
-                    line, entity, term = (list(c) for c in zip(*rows, strict=True))
-                    empty = pa.nulls(n, pa.string())
-                    yield {"sort": pa.array(np.ones(n, np.int32)), "key": pa.nulls(n, pa.int64()), "doc": empty,
-                           "base": empty, "counts": pa.nulls(n, pa.list_(pa.int32())), "line": line, "entity": entity,
-                           "term": term}
+                    yield from held(1, hashes[chunk.first + pairs[:, 0]], "term", pairs[:, 1])
+                entities = [(line, entity) for line, (_, found) in zip(hashes.tolist(), lines, strict=True) for entity in found]
+                if entities:
+                    line, entity = np.array(entities, dtype=np.int64).T
+                    yield from held(2, line, "entity", entity)
 
     return written(rows_from(docs, produce, out), "personal-data", by=["sort"])
 
@@ -216,15 +220,34 @@ def _lines_without(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.sum("n").alias("n_without"))
 
 
+def _classes(held: DataFrame, name: str) -> DataFrame:
+    """Terms or entities of ``SUPPORT`` lines or more: name, how many lines, and a hash of the set of lines."""
+    lines = F.count("*").alias("n")
+    return written(held.groupBy(name).agg(
+        lines, F.bit_xor("line").alias("one"), F.bit_xor(F.xxhash64("line")).alias("other")).where(
+        F.col("n") >= SUPPORT).select(name, "n", F.xxhash64("n", "one", "other").alias("class")), f"{name}-classes")
+
+
 def revealing_terms(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``term``, ``missed_bits``: terms that reveal some entity, and by how many bits they miss its information."""
-    contexts = contexts.select("line", "entity", "term").distinct()
-    pairs = written(contexts.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(
-        F.col("n_both") >= SUPPORT).groupBy("term").agg(F.max("n_both").alias("n_both")), "term-entities")
-    with_entity = contexts.select("line", "term").distinct().join(pairs.select("term"), "term", "left_semi").groupBy(
-        "term").agg(F.count("*").alias("n_with"))
+    """``term``, ``missed_bits``: terms that reveal some entity, and by how many bits they miss its information.
+
+    Only terms and entities with enough lines are paired, and those that stand in the very
+    same lines are paired as one: a line that lists very many of both makes no pair for each two.
+    """
+    sides = {}
+    for sort, name in ((1, "term"), (2, "entity")):
+        held = contexts.where(F.col("sort") == sort).select("line", name).distinct()
+        classes = _classes(held, name)
+        members = classes.groupBy("class").agg(F.min(name).alias(name), F.first("n").alias(f"n_{name}"))
+        sides[name] = classes, held.join(members, name).select("line", F.col("class").alias(f"{name}_class"), f"n_{name}")
+    terms, term_lines = sides["term"]
+    # No more lines can hold both than hold the entity.
+    both = term_lines.join(sides["entity"][1], "line").where(F.col("n_entity") * 2.0 ** BITS >= F.col("n_term"))
+    pairs = both.groupBy("term_class", "entity_class").agg(F.count("*").alias("n_both")).where(
+        F.col("n_both") >= SUPPORT).groupBy("term_class").agg(F.max("n_both").alias("n_both"))
     # Terms that already miss too much among the lines with entities need no count elsewhere.
-    near = written(pairs.join(with_entity, "term").where(F.log2(F.col("n_with") / F.col("n_both")) <= BITS), "near-terms")
+    near = written(terms.join(pairs, F.col("class") == F.col("term_class")).select(
+        "term", "n_both", F.col("n").alias("n_with")).where(F.log2(F.col("n_with") / F.col("n_both")) <= BITS), "near-terms")
     found = near.join(_lines_without(docs, near), "term", "left")
     missed = F.log2((F.col("n_with") + F.coalesce("n_without", F.lit(0))) / F.col("n_both"))
     return written(found.select("term", missed.alias("missed_bits")).where(F.col("missed_bits") <= BITS), "revealing")
@@ -260,7 +283,7 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Base spans by row, and places of revealing terms by text."""
     mine = docs.select(*_identity(docs))
     first = _first_pass(mine)
-    terms = revealing_terms(mine, first.where("sort = 1"))
+    terms = revealing_terms(mine, first.where("sort > 0"))
     return first.where("sort = 0"), written(_term_places(mine, terms), "term-places")
 
 

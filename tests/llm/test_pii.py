@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -77,3 +78,46 @@ def test_texts_are_sanitised(corpus, odd_docs, no_docs):
     assert sorted(map(str, done.collect())) == sorted(map(str, odd_docs.collect()))
     assert pii.sanitise(no_docs).count() == pii.find_personal_data(no_docs).count() == 0
     assert pii.find_personal_data(odd_docs).count() == odd_docs.count()
+
+
+def listed(texts):
+    """Revealing terms by counting every pair, one line for each text."""
+    lines = {}
+    for text in texts:
+        spans = plain(text)
+        for start, _, end in reversed(spans):
+            text, found = text[:start] + " " + text[end:], text[start:end]
+            lines.setdefault(None, set()).add(found)
+        entities = lines.pop(None, set())
+        lines.setdefault(text, set()).update(entities)
+    holds = {line: set(re.findall("[a-z0-9]{4,}", line)) for line in lines}
+    with_term = {t: [x for x in holds if t in holds[x]] for x in holds for t in holds[x]}
+    out = set()
+    for term, where in with_term.items():
+        both = max((sum(e in lines[x] for x in where) for x in where for e in lines[x]), default=0)
+        if both >= pii.SUPPORT and len(where) <= both * 2 ** pii.BITS:
+            out.add(term)
+    return out
+
+
+def test_terms_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    texts = []
+    for k in range(120):
+        some = rng.sample([f"10.0.0.{n}" for n in range(12)], rng.randrange(4))
+        texts.append(" ".join([f"n{k}", *rng.sample([f"word{n}" for n in range(60)], 6), *[f"near{e[7:]}x" for e in some[:1]], *some]))
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    terms = set()
+    for r in found:
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        terms |= {texts[r.doc_id][int(s):int(e)] for kind, s, e in spans if kind == "term"}
+    assert terms and terms == listed(texts)
+
+
+def test_a_long_list_on_one_line_makes_no_pair_for_each_two(spark):
+    rows = [(k, f"list{k} " + " ".join(f"name{n} u{n}@host.org" for n in range(400))) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = pii._first_pass(docs.select(*pii._identity(docs)))
+    assert first.where("sort > 0").count() <= 3 * (400 + 400 + 1)
+    found = pii.find_personal_data(docs).collect()
+    assert [(r.n_email, r.n_term) for r in found] == [(400, 400)] * 3
