@@ -1,14 +1,18 @@
 """Quality rules whose cutoffs are chosen on labelled documents with a bound on false rejections.
 
-Each rule is a ratio, higher for worse texts, on a fixed grid of cutoffs. A cutoff may be
-used in a stratum when the exact binomial test on the stratum's good documents rules out,
-at a level divided by the number of all cutoffs tested, that it rejects more than its share
-of good documents. Of such cutoffs the strictest is taken. Only DataFrame functions are used.
+Each rule is a ratio, higher for worse texts, on a fixed grid of cutoffs. The rules of a
+stratum are bounded together: one after the other takes the k-th largest value among the
+good documents that the rules before it left, and rejects what lies above. With K such
+blocks in all, the rejected part of n good documents is at most a Beta(K, n - K + 1)
+variable whatever the distribution (statistically equivalent blocks), so K is the largest
+number for which the exact binomial tail at K - 1 is within the level, the chance of
+failure divided by the number of strata. Equal values and the grid only reject less.
+Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomarket.llm.tables import written
@@ -74,16 +78,30 @@ def features(docs: DataFrame) -> DataFrame:
             "long_word_share"))
 
 
-def _log_binomial_tail(k: str, n: str, p: float) -> Column:
-    """Log of the chance of at most ``k`` successes in ``n`` trials, term by term."""
-    return F.expr(f"""
+def _tail_sql(k: str, n: str, p: float) -> str:
+    """SQL for the log of the chance of at most ``k`` successes in ``n`` trials, term by term."""
+    return f"""
         aggregate(sequence(0, cast({k} as int)), struct(cast(0 as double) as term, cast(0 as double) as total),
           (acc, j) -> if(j = 0,
             struct({n} * ln(1 - {p}D) as term, {n} * ln(1 - {p}D) as total),
             struct(acc.term + ln(({n} - j + 1) / j) + ln({p}D / (1 - {p}D)) as term,
               greatest(acc.total, acc.term + ln(({n} - j + 1) / j) + ln({p}D / (1 - {p}D))) + ln(1 + exp(
                 -abs(acc.total - acc.term - ln(({n} - j + 1) / j) - ln({p}D / (1 - {p}D))))) as total)),
-          acc -> acc.total)""")
+          acc -> acc.total)"""
+
+
+def _log_binomial_tail(k: str, n: str, p: float) -> Column:
+    return F.expr(_tail_sql(k, n, p))
+
+
+def _blocks(n: str, p: float, level: str) -> Column:
+    """One more than the largest k whose tail is within the level, by bisection; 0 if there is none."""
+    return F.expr(f"""
+        aggregate(sequence(1, 40), struct(-1L as low, cast(floor({p}D * {n}) as bigint) + 1L as high),
+          (s, i) -> if(s.high - s.low <= 1, s, transform(array((s.low + s.high) div 2), mid ->
+            if({_tail_sql("mid", n, p)} <= {level},
+              struct(mid as low, s.high as high), struct(s.low as low, mid as high)))[0]),
+          s -> s.low + 1)""")
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, rules: list[str] = RULES, grid: int = GRID,
@@ -92,29 +110,36 @@ def cutoffs(measured: DataFrame, labels: DataFrame, rules: list[str] = RULES, gr
 
     Equal texts count once, for copies are no independent evidence; a document with
     several labels counts as good only if all say so; null labels are left out. A
-    stratum with too few good documents gets no cutoff, and so rejects none.
+    stratum with too few good documents gets no cutoff, and so rejects none; one with
+    fewer blocks than rules has cutoffs for the first rules only.
     """
-    share = false_rejections / len(rules)
     good = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     held = (
         measured.where("not base_failed").join(good, "doc_id", "left_semi")
         .groupBy("stratum", "text_hash").agg(*[F.first(r).alias(r) for r in rules])
     )
     # Value v is rejected by cutoff c / grid when v > c / grid, that is c < ceil(v * grid).
-    bins = held.select("stratum", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.ceil(F.col(r) * grid).cast("int").alias("bin")) for r in rules])).alias("b"))
-    counts = bins.groupBy("stratum", "b.rule", "b.bin").agg(F.count("*").alias("docs"))
-    tests = counts.select("stratum", "rule", "docs", "bin", F.explode(F.sequence(F.lit(1), F.lit(grid))).alias("cutoff"))
-    tallied = tests.groupBy("stratum", "rule", "cutoff").agg(
-        F.sum("docs").alias("n"), F.sum(F.when(F.col("bin") > F.col("cutoff"), F.col("docs")).otherwise(0)).alias("k"))
-    strata = held.agg(F.greatest(F.countDistinct("stratum"), F.lit(1)).alias("strata"))
-    level = F.ln(F.lit(failure) / (F.col("strata") * len(rules) * grid))
-    # One row of counts; a rate above the share cannot pass, so its tail is not summed.
-    safe = tallied.join(F.broadcast(strata), F.lit(True)).where(
-        (F.col("k") <= share * F.col("n")) & (F.when(
-            F.col("k") <= share * F.col("n"), _log_binomial_tail("k", "n", share)).otherwise(0.0) <= level))
-    return safe.groupBy("stratum", "rule").agg(
-        (F.min("cutoff") / float(grid)).alias("cutoff"))
+    left = written(held.groupBy("stratum", *[F.ceil(F.col(r) * grid).cast("int").alias(r) for r in rules]).agg(
+        F.count("*").alias("docs")), "quality-good")
+    sizes = left.groupBy("stratum").agg(F.sum("docs").alias("n"))
+    strata = sizes.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
+    # One row of counts.
+    blocks = written(sizes.join(F.broadcast(strata), F.lit(True)).withColumn(
+        "level", F.ln(failure / F.col("strata"))).select(
+        "stratum", _blocks("n", false_rejections, "level").alias("blocks")), "quality-blocks")
+    chosen = blocks.select("stratum", F.lit("").alias("rule"), F.lit(0).alias("bin")).limit(0)
+    for place, rule in enumerate(rules):
+        # The bin of the k-th largest value; a histogram has at most grid + 1 rows.
+        downwards = Window.partitionBy("stratum").orderBy(F.desc(rule))
+        share = F.expr(f"blocks div {len(rules)} + int({place} < blocks % {len(rules)})")
+        counts = left.groupBy("stratum", rule).agg(F.sum("docs").alias("docs"))
+        found = written(
+            counts.withColumn("reached", F.sum("docs").over(downwards)).join(blocks, "stratum")
+            .where((share > 0) & (F.col("reached") >= share)).groupBy("stratum")
+            .agg(F.greatest(F.lit(1), F.max(rule)).alias("bin")), "quality-rule")
+        chosen = chosen.unionByName(found.select("stratum", F.lit(rule).alias("rule"), "bin"))
+        left = left.join(found, "stratum", "left").where(F.col("bin").isNull() | (F.col(rule) <= F.col("bin"))).drop("bin")
+    return chosen.select("stratum", "rule", (F.col("bin") / float(grid)).alias("cutoff"))
 
 
 def judge(measured: DataFrame, chosen: DataFrame, rules: list[str] = RULES) -> DataFrame:

@@ -70,3 +70,31 @@ def test_a_few_extreme_good_texts_do_not_lift_a_cutoff(spark):
     chosen = quality.cutoffs(table, labels, rules=["r"])
     assert [(c.stratum, c.cutoff) for c in chosen.collect()] == [("a", 0.05)]
     assert quality.judge(table, chosen, rules=["r"]).where("kept").count() == 5988
+
+
+def test_a_few_hundred_good_texts_give_every_rule_a_cutoff(spark):
+    # Four strata of 300 good texts each: seven blocks, so the first two rules may pass over one extreme text.
+    rules, rows = quality.RULES, []
+    for k in range(1240):
+        good, stratum = k < 1200, "abcd"[k % 4]
+        values = [0.02 + (0.5 if good and r < 2 and k // 4 == 10 + r else 0.0) for r in range(5)]
+        if not good:
+            values[(k // 4) % 3] = 0.3
+        rows.append((k, stratum, k, False, *values))
+    table = spark.createDataFrame(rows, "doc_id long, stratum string, text_hash long, base_failed boolean, "
+                                  + ", ".join(f"{r} double" for r in rules))
+    chosen = quality.cutoffs(table, table.selectExpr("doc_id", "int(doc_id < 1200) as quality"))
+    assert {(c.stratum, c.rule) for c in chosen.collect()} == {(s, r) for s in "abcd" for r in rules}
+    kept = quality.judge(table, chosen).where("kept")
+    assert kept.where("doc_id >= 1200").count() == 0
+    assert min(r["count"] for r in kept.groupBy("stratum").count().collect()) >= 0.95 * 300
+
+
+def test_blocks_are_bounded_exactly(spark):
+    for n, share, level in [(20, 0.05, 0.0125), (85, 0.05, 0.0125), (86, 0.05, 0.0125), (300, 0.05, 0.0125), (5000, 0.01, 0.05)]:
+        tails, total = [], 0.0
+        for j in range(int(n * share) + 1):
+            total += math.comb(n, j) * share ** j * (1 - share) ** (n - j)
+            tails.append(total)
+        found = spark.range(1).selectExpr(f"{n}L as n", f"ln({level}D) as level").select(quality._blocks("n", share, "level"))
+        assert found.first()[0] == sum(t <= level for t in tails)
