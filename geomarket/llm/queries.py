@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geomarket.llm import jaccard, quality, sharding, toxicity, url_filter
+from geomarket.llm import jaccard, prefix_trie, quality, sharding, toxicity, url_filter, warc, whitening
 from geomarket.llm.decontaminate import judge_documents
 from geomarket.llm.packing import pack
 from geomarket.llm.pii import find_personal_data
@@ -110,3 +110,64 @@ def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return find_personal_data(documents(spark, sf))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+# Prefixes as lists, compared whole; the checksum bit by bit, as the engine has no function for it.
+ORACLE["op11_prefix_trie"] = """
+with turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as pos
+  from conversations where conv_id is not null),
+own as (select c, list(struct_pack(role := role, text := text) order by pos) as seq from turns group by c),
+heads as (
+  select c, seq, c - c % 5 as base, xor(list_reduce(list_prepend(4294967295::bigint,
+      list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x)::bigint)),
+      lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+        lambda y, z: xor(y >> 1, 3988292384::bigint * (y & 1)))), 4294967295) % 9 as h
+  from own),
+whole as (
+  select a.c, list_concat(coalesce(b.seq[1:a.h], []), a.seq[a.h + 1:]) as seq
+  from heads a left join own b on b.c = a.base),
+members as (select c, seq[1:d] as node, d::bigint as depth, len(seq) = d as is_end from whole, unnest(range(0, len(seq) + 1)) as t(d)),
+nodes as (
+  select node, depth, min(c) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (is_end), '')) as ends_sha256
+  from members group by node, depth),
+children as (select node[1:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by 1),
+valued as (
+  select n.*, coalesce(n_children, 0) as n_children,
+    case when depth = 0 then 0 else (n_convs - 1) * strlen(node[depth].text) end as saved
+  from nodes n left join children using (node)),
+above as (
+  select node[1:d] as node, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+  from valued, unnest(range(0, depth + 1)) as t(d) group by 1)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+from valued v join above using (node) left join nodes p on v.depth > 0 and p.node = v.node[1:v.depth - 1]"""
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query
+def op13_warc_normaliser(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive_pages(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+ORACLE["op13_warc_normaliser"] = """
+with p as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as hex,
+    max(page_id) over (partition by coalesce(html, '')) as kept
+  from pages)
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, i // 4 * 5 + 1, 5))::bigint >> (15 - i % 4 * 5)) & 31)::int + 1, 1) for i in range(0, 32)], '') as payload_digest,
+  case when page_id = kept then 'response' else 'revisit' end as record_type,
+  case when page_id = kept then null else kept end as refers_to
+from p"""

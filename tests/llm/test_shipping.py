@@ -17,7 +17,8 @@ def test_tasks_do_not_import_the_package(tmp_path):
         spark = session.local_session(cpus=2, memory="2g")
         spark.conf.set("spark.sql.shuffle.partitions", "2")
         for name in ("op1_suffix_dedup", "op2_token_counts", "op3_best_fit_packing", "op4_personal_data",
-                     "op5_decontamination", "op7_toxicity", "op10_jaccard_join"):
+                     "op5_decontamination", "op7_toxicity", "op10_jaccard_join", "op11_prefix_trie", "op12_embedding_whitening",
+                     "op13_warc_normaliser"):
             assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
         print("all ran")
     """)
