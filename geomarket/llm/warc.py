@@ -5,7 +5,7 @@ ends in two line breaks, a file one gzip stream. Nothing in such a file can be r
 inflating all that comes before. ``normalise`` inflates each file once, as a stream, so that a
 task holds one record and not the file; it writes every record as a gzip member of its own,
 cuts archives at a number of bytes, and lists each member's place in a sidecar index.
-``read_records`` opens members by that index alone.
+``read_records`` walks through whole archives, or opens the members that index rows name.
 
 Files are written and read by Spark, so they may lie in any store it knows, and a lost
 executor or a retried task leaves no half-written file. A record whose digest does not match
@@ -16,16 +16,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geomarket.llm.tables import written
+from geomarket.llm.tables import BLOOM_BITS, collected_bits, written
 from geomarket.llm.tasks import fields, rows_from
 from geomarket.session import scratch_path
 
@@ -36,72 +39,105 @@ MARK = "WARC/1."
 BREAK = "\r\n"
 # Rows that a task gives on at once.
 SLICE_BYTES = 8 << 20
+# Bytes inflated at once.
+WINDOW = 1 << 16
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PAGE = "urn:x-page:"
-_INDEX = fields(archive="string", number="long", offset="long", length="long", record_type="string",
-                record_id="string", target_uri="string")
+_LINES = fields(part="string", archive="string", number="long", line="binary")
 _READ = fields(record_type="string", record_id="string", target_uri="string", refers_to="string",
                payload_bytes="long", payload_digest="string", payload="binary")
 # A gzip member without content: its end is zeros, see `_line`.
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff030000000000") + b"\0\0\0\0"
 
 
-def _digest(data: str) -> str:
-    """SQL for the upper-case base32 of the SHA-1: four characters from every five hexadecimal digits."""
-    return f"""concat_ws('', transform(sequence(0, 31), i -> substring('{_BASE32}',
-        1 + (shiftright(cast(conv(substring(sha1({data}), cast(i div 4 * 5 + 1 as int), 5), 16, 10) as int),
-          15 - i % 4 * 5) & 31), 1)))"""
+def _base32(sha1: str) -> str:
+    """SQL for upper-case base32 of a SHA-1 in hexadecimal: four characters from every five digits."""
+    return f"""concat_ws('', transform(sequence(0, 7), i -> transform(
+        array(cast(conv(substring({sha1}, i * 5 + 1, 5), 16, 10) as int)), v -> concat(
+          substring('{_BASE32}', 1 + (shiftright(v, 15) & 31), 1), substring('{_BASE32}', 1 + (shiftright(v, 10) & 31), 1),
+          substring('{_BASE32}', 1 + (shiftright(v, 5) & 31), 1), substring('{_BASE32}', 1 + (v & 31), 1)))[0]))"""
+
+
+class Typed(NamedTuple):
+    """Rows that become responses, with ``id``, ``uri``, ``payload``, ``bytes``, ``sha1``, ``name``; revisits have ``kept`` too."""
+    responses: DataFrame
+    revisits: DataFrame
 
 
 def with_types(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", payload: str = "html",
-               uri: str = "url") -> DataFrame:
-    """``id``, ``uri``, ``payload``, ``row``, ``bytes``, ``digest`` and, for revisits, ``kept``: the row and id referred to.
+               uri: str = "url") -> Typed:
+    """Responses with their payload, and revisits, which need none and come from a table without payloads.
 
-    Of rows with equal payloads of at least ``least_bytes`` the one with the largest id is kept;
-    no id comes before all others, and of rows that share the id as well any one is.
+    Of rows with equal payloads of at least ``least_bytes`` the one with the largest id is the
+    response; no id comes before all others, and of rows that share the id as well any one is.
+    Payloads are shuffled only where a bit set cannot rule out that they are repeated.
     """
-    rows = written(pages.select(
-        F.col(key).alias("id"), F.col(uri).cast("string").alias("uri"),
+    rows = pages.select(
+        F.col(key).cast("long").alias("id"), F.col(uri).cast("string").alias("uri"),
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"),
-        # Frozen by writing: a row number may differ when computed again.
-        F.monotonically_increasing_id().alias("row"),
-    ).withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.expr(_digest("payload"))}), "pages")
+    ).withColumns({"bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")}).withColumn(
+        "name", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("sha1")))
+    # Frozen by writing: a row number may differ when computed again.
+    slim = written(rows.where(F.col("bytes") >= least_bytes).drop("payload").withColumn(
+        "row", F.monotonically_increasing_id()), "digests")
     # Counts and maxima are combined before the shuffle, so a payload of many pages is no hot task.
-    copies = (
-        rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
-        .agg(F.max(F.struct("id", "row")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    return rows.join(copies, ["digest", "bytes"], "left").withColumn(
-        "kept", F.when(F.col("kept.row") != F.col("row"), F.col("kept")))
-
-
-def _record_id(of: str) -> Column:
-    return F.concat(F.lit(f"<{_PAGE}"), F.coalesce(F.col(f"{of}id").cast("string"), F.lit("")), F.lit(":"),
-                    F.col(f"{of}row").cast("string"), F.lit(">"))
+    copies = written(slim.groupBy("sha1").agg(
+        F.max(F.struct("id", "row", "name", "uri")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    repeated = written(slim.join(copies, "sha1").select("*", (F.col("row") == F.col("kept.row")).alias("is_kept")), "repeated")
+    names = repeated.groupBy("name").agg(F.max("is_kept").alias("is_kept"), F.max("kept").alias("kept"))
+    marked = _maybe(rows, F.xxhash64("name"), collected_bits(names, F.xxhash64("name")), F.col("bytes") >= least_bytes)
+    certain = marked.where("not maybe").drop("maybe").withColumn(
+        # No record refers to these; rows repeated below the limit have records of their own.
+        "name", F.concat("name", F.lit(":"), F.monotonically_increasing_id().cast("string")))
+    # One of each name; a name that is repeated stays only where it is the kept one.
+    unsure = marked.where("maybe").drop("maybe").dropDuplicates(["name"]).join(names, "name", "left").where(
+        "coalesce(is_kept, true)").withColumn("uri", F.when(F.col("kept").isNull(), F.col("uri")).otherwise(F.col("kept.uri")))
+    revisits = repeated.where("not is_kept").withColumn("name", F.concat("name", F.lit(":"), F.col("row").cast("string")))
+    columns = ["id", "uri", "payload", "bytes", "sha1", "name"]
+    return Typed(certain.select(columns).unionByName(unsure.select(columns)),
+                 revisits.select("id", "uri", "bytes", "sha1", "name", "kept"))
+
+
+def _maybe(rows: DataFrame, key: Column, bits: np.ndarray, asked: Column) -> DataFrame:
+    """Add ``maybe``: false where the bit set proves that the key is absent; the set is broadcast, 2 MB at most."""
+    words = np.flatnonzero(bits)
+    table = rows.sparkSession.createDataFrame(
+        list(zip(words.tolist(), bits[words].view(np.int64).tolist(), strict=True)), "bit_word int, bit_mask long")
+    at = F.pmod(key, F.lit(BLOOM_BITS))
+    found = rows.withColumns({"bit_word": (at / 64).cast("int"), "bit": (at % 64).cast("int")}).join(
+        F.broadcast(table), "bit_word", "left")
+    return found.withColumn("maybe", asked & F.coalesce(
+        F.expr("(shiftrightunsigned(bit_mask, bit) & 1L) = 1"), F.lit(False))).drop("bit_word", "bit", "bit_mask")
+
+
+def _record(name: str, kind: str, date: str, more: Column, block: Column) -> Column:
+    """A record as text, but for the two line breaks that end it."""
+    # A line break inside a URL would end its header.
+    safe = F.regexp_replace(F.regexp_replace("uri", "\r", "%0D"), "\n", "%0A")
+    return F.concat(
+        F.lit(f"{MARK}1{BREAK}WARC-Type: {kind}{BREAK}WARC-Record-ID: <{_PAGE}"), F.col(name),
+        F.lit(f">{BREAK}WARC-Date: {date}{BREAK}"),
+        F.coalesce(F.concat(F.lit("WARC-Target-URI: "), safe, F.lit(BREAK)), F.lit("")),
+        F.lit("WARC-Payload-Digest: sha1:"), F.expr(_base32("sha1")), F.lit(BREAK), more,
+        F.lit(f"Content-Type: application/http; msgtype=response{BREAK}Content-Length: "),
+        F.octet_length(block).cast("string"), F.lit(BREAK * 2), block)
 
 
-def records(typed: DataFrame, date: str) -> DataFrame:
+def records(typed: Typed, date: str) -> DataFrame:
     """One record a row, as text: HTTP headers and the payload for responses, the headers alone for revisits."""
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(BREAK * 2))
-    is_response = F.col("kept").isNull()
-    block = F.when(is_response, F.concat(http, F.col("payload"))).otherwise(http)
-    # A line break inside a URL would end its header.
-    safe = F.regexp_replace(F.regexp_replace("uri", "\r", "%0D"), "\n", "%0A")
-    return typed.withColumn("block", block).select(F.concat(
-        F.lit(f"{MARK}1{BREAK}WARC-Type: "), F.when(is_response, "response").otherwise("revisit"),
-        F.lit(f"{BREAK}WARC-Record-ID: "), _record_id(""), F.lit(f"{BREAK}WARC-Date: {date}{BREAK}"),
-        F.coalesce(F.concat(F.lit("WARC-Target-URI: "), safe, F.lit(BREAK)), F.lit("")),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"), F.lit(BREAK),
-        F.when(is_response, F.lit("")).otherwise(F.concat(
-            F.lit("WARC-Refers-To: "), _record_id("kept."),
-            F.lit(f"{BREAK}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{BREAK}"))),
-        F.lit(f"Content-Type: application/http; msgtype=response{BREAK}Content-Length: "),
-        F.octet_length("block").cast("string"), F.lit(BREAK * 2), F.col("block")).alias("value"))
+    refers = F.concat(
+        F.lit(f"WARC-Refers-To: <{_PAGE}"), F.col("kept.name"),
+        F.lit(f">{BREAK}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{BREAK}"))
+    return typed.responses.select(
+        _record("name", "response", date, F.lit(""), F.concat(http, F.col("payload"))).alias("value"),
+    ).unionByName(typed.revisits.select(_record("name", "revisit", date, refers, http).alias("value")))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
                    **columns: str) -> None:
-    """One monolithic gzip archive for each partition of ``pages``; repeated payloads become revisits."""
+    """Monolithic gzip archives, one a task, with a record for each page; repeated payloads become revisits."""
     records(with_types(pages, least_bytes, **columns), date).write.option("lineSep", BREAK * 2).option(
         "compression", "gzip").text(path)
 
@@ -173,6 +209,7 @@ def _line(member: bytes) -> bytes:
 
 
 def _members(limit: int):
+    """Lines of archives, and lines of the index, with their archive and place."""
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         made: list[tuple] = []
         held = 0
@@ -187,37 +224,38 @@ def _members(limit: int):
             head, _ = _split(record)
             member = _member(record)
             line = _line(member)
-            made.append((f"{stem}-{part:05d}", number, offset, len(member), header(head, "WARC-Type"),
-                         header(head, "WARC-Record-ID"), header(head, "WARC-Target-URI"), line))
+            entry = json.dumps({
+                "number": number, "offset": offset, "length": len(member), "record_type": header(head, "WARC-Type"),
+                "record_id": header(head, "WARC-Record-ID"), "target_uri": header(head, "WARC-Target-URI")})
+            archive = f"{stem}-{part:05d}"
+            made += [("archives", archive, number, line), ("index", archive, number, entry.encode())]
             number += 1
             offset += len(line) + 1
             held += len(line)
             if held >= SLICE_BYTES or len(made) >= 4096:
-                yield _columns(made)
+                yield _columns(_LINES, made)
                 made, held = [], 0
         if made:
-            yield _columns(made)
+            yield _columns(_LINES, made)
     return produce
 
 
-def _columns(made: list[tuple]) -> dict:
-    return dict(zip([f.name for f in _INDEX] + ["line"], map(list, zip(*made, strict=True)), strict=True))
+def _columns(wanted: list, made: list[tuple]) -> dict:
+    return dict(zip([f.name for f in wanted], map(list, zip(*made, strict=True)), strict=True))
 
 
 def normalise(spark: SparkSession, source: str, target: str, limit: int = ARCHIVE_BYTES) -> None:
-    """Rewrite monolithic gzip archives below ``source`` to ``target/archives`` and ``target/index``.
+    """Rewrite the monolithic gzip archives below ``source`` to ``target``, with an index beside them.
 
-    An archive ends with the record that brings it to ``limit`` compressed bytes. The index
-    has one row for each record: its archive, its place and length there, and its main headers.
+    One pass: the task that inflates a file writes its archives, below ``part=archives``, and
+    their index, below ``part=index``: JSON lines with each record's number, offset, length and
+    main headers. An archive ends with the record that brings it to ``limit`` compressed bytes.
     """
-    lines = spark.read.option("lineSep", MARK).text(source).select(
+    chunks = spark.read.option("lineSep", MARK).text(source).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
-    members = written(rows_from(lines, _members(limit), [*_INDEX, *fields(line="binary")]), "members")
-    members.select([f.name for f in _INDEX]).write.parquet(f"{target}/index")
-    # An archive has a bounded size, so none is a hot task.
-    (members.select("archive", "number", F.col("line").cast("string").alias("value"))
-     .repartition("archive").sortWithinPartitions("archive", "number").select("archive", "value")
-     .write.partitionBy("archive").option("lineSep", "\0").text(f"{target}/archives"))
+    (rows_from(chunks, _members(limit), _LINES).sortWithinPartitions("part", "archive", "number")
+     .select("part", "archive", F.col("line").cast("string").alias("value"))
+     .write.partitionBy("part", "archive").option("lineSep", "\0").text(target))
 
 
 def payload_of(record: bytes) -> tuple[bytes, bytes, bytes]:
@@ -229,9 +267,23 @@ def payload_of(record: bytes) -> tuple[bytes, bytes, bytes]:
     return head, block[:end], block[end + 4:]
 
 
-def _opened(with_payload: bool):
-    def parse(member: bytes) -> tuple:
-        head, http, payload = payload_of(zlib.decompress(member, wbits=31))
+def _members_of(data: memoryview) -> Iterator[bytes]:
+    """The content of one gzip member after the other."""
+    at = 0
+    while at < len(data):
+        unpack, made = zlib.decompressobj(wbits=31), []
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a member")
+            made.append(unpack.decompress(data[at:at + WINDOW]))
+            at += min(WINDOW, len(data) - at)
+        at -= len(unpack.unused_data)
+        yield b"".join(made)
+
+
+def _opened(with_payload: bool, by_places: bool):
+    def parse(record: bytes) -> tuple:
+        head, http, payload = payload_of(record)
         kind, said = header(head, "WARC-Type"), header(head, "WARC-Payload-Digest")
         if kind == "revisit":
             # The payload is with the record referred to; the headers tell its length.
@@ -243,38 +295,50 @@ def _opened(with_payload: bool):
         return (kind, header(head, "WARC-Record-ID"), header(head, "WARC-Target-URI"), header(head, "WARC-Refers-To"),
                 n_bytes, found, payload if with_payload else None)
 
+    def contents(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for row, content in enumerate(batch["content"]):
+            data = memoryview(content.as_buffer())
+            if not by_places:
+                yield from _members_of(data)
+                continue
+            for start, length in zip(*(f.to_pylist() for f in batch["places"][row].values.flatten()), strict=True):
+                yield zlib.decompress(data[start:start + length], wbits=31)
+
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = [f.name for f in _READ]
         for batch in batches:
-            for content, places in zip(batch["content"], batch["places"], strict=True):
-                data = memoryview(content.as_buffer())
-                made, held = [], 0
-                for start, length in zip(*(f.to_pylist() for f in places.values.flatten()), strict=True):
-                    made.append(parse(data[start:start + length]))
-                    held += len(made[-1][-1] or b"")
-                    if held >= SLICE_BYTES or len(made) >= 4096:
-                        yield dict(zip(names, map(list, zip(*made, strict=True)), strict=True))
-                        made, held = [], 0
-                if made:
-                    yield dict(zip(names, map(list, zip(*made, strict=True)), strict=True))
+            made, held = [], 0
+            # What follows a record of 16 MB or more has no content.
+            for record in filter(None, contents(batch)):
+                made.append(parse(record))
+                held += len(made[-1][-1] or b"")
+                if held >= SLICE_BYTES or len(made) >= 4096:
+                    yield _columns(_READ, made)
+                    made, held = [], 0
+            if made:
+                yield _columns(_READ, made)
     return produce
 
 
 def read_index(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/index")
+    """archive, number, offset, length, record_type, record_id and target_uri of every record."""
+    lines = spark.read.option("lineSep", "\0").text(f"{target}/part=index")
+    return lines.select(F.col("archive").cast("string").alias("archive"), F.from_json(
+        "value", "number long, offset long, length long, record_type string, record_id string, target_uri string",
+    ).alias("entry")).select("archive", "entry.*")
 
 
 def read_records(spark: SparkSession, target: str, index: DataFrame | None = None, payload: bool = False) -> DataFrame:
-    """The records that the index rows name, all by default: type, ids, URI, length and digest of the full payload.
+    """All records, or those that the given index rows name: type, ids, URI, length and digest of the full payload.
 
-    Only archives with such a record are opened, and only these members inflated. A task holds
-    one archive, whose size ``normalise`` bounds.
+    With index rows only archives with such a record are opened and only these members are
+    inflated. A task holds a few archives, whose size ``normalise`` bounds.
     """
-    wanted = read_index(spark, target) if index is None else index
-    places = wanted.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    files = spark.read.format("binaryFile").load(f"{target}/archives").select(
+    files = spark.read.format("binaryFile").load(f"{target}/part=archives").select(
         F.col("archive").cast("string").alias("archive"), "content")
-    found = rows_from(files.join(places, "archive").select("content", "places"), _opened(payload), _READ)
+    if index is not None:
+        files = files.join(index.groupBy("archive").agg(
+            F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places")), "archive")
+    found = rows_from(files.drop("archive"), _opened(payload, index is not None), _READ)
     return found if payload else found.drop("payload")
 
 

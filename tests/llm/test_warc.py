@@ -39,9 +39,9 @@ def odd_pages(spark):
     mark = "WARC/1."
     rows = [(1, None, "http://a.b/c"), (2, "", "x"), (None, "no id", "y"), (3, "same", None), (4, "same", "u\r\nX: 1"),
             (4, "same", "again"), (-7, "same", mark), (None, "same", ""), (5, f"{mark}1\r\n\r\n{mark}{mark}0\r\n", f"{mark}1"),
-            (6, "\r\n\r\n", "z"), (7, "é𝄞\x00 end\r\n\r\n", "z"), (8, "long " * 1_000_000, "z"), (9, "no id", "q")]
+            (6, "\r\n\r\n", "z"), (7, "é𝄞\x00 end\r\n\r\n", "z"), (8, "long " * 1_000_000, "z"), (9, "no id", "q"), (10, "tied", "t1"), (10, "tied", "t2"), (10, "tied", "t3")]
     return spark.createDataFrame(rows, "page_id long, html string, url string").selectExpr(
-        "*", "1 as row", "2 as bytes", "'d' as digest", "3 as kept", "4 as id", "5 as uri", "6 as payload", "7 as block")
+        "*", "1 as row", "2 as bytes", "'d' as digest", "3 as kept", "4 as id", "5 as uri", "6 as payload", "7 as block", "8 as name", "9 as sha1", "10 as maybe")
 
 
 def test_odd_pages(odd_pages):
@@ -67,12 +67,17 @@ def test_each_record_is_a_member_at_its_offset(spark, odd_pages, tmp_path):
         assert whole.eof and whole.unused_data == b"", "one stream for the whole file"
     warc.normalise(spark, raw, out, limit=1500)
     index = warc.read_index(spark, out).orderBy("archive", "number").collect()
-    files = {p.parent.name.removeprefix("archive="): p.read_bytes() for p in pathlib.Path(out).glob("archives/*/part-*")}
+    files = {p.parent.name.removeprefix("archive="): p.read_bytes() for p in pathlib.Path(out).glob("part=archives/*/part-*")}
     assert len(index) == odd_pages.count() and len(files) > 2
     bodies = [zlib.decompress(files[r.archive][r.offset:r.offset + r.length], wbits=31) for r in index]
     assert all(b.startswith(b"WARC/1.1\r\n") and b.endswith(b"\r\n\r\n") for b in bodies)
     assert sorted(bodies) == sorted(b for s in streams for _, b in warc.whole_records(
         iter([("f", c) for c in s.split(b"WARC/1.")])))
+    # Of rows that share id and payload every URL is kept.
+    assert {"t1", "t2", "t3"} == {r.target_uri for r in index if (r.target_uri or "").startswith("t")}
+    assert len({r.record_id for r in index}) == len(index)
+    by_index = warc.read_records(spark, out, warc.read_index(spark, out)).collect()
+    assert sorted(by_index, key=str) == sorted(warc.read_records(spark, out).collect(), key=str)
     # Other tools read the archives as plain gzip files.
     assert sorted(b"".join(gzip.decompress(f) for f in files.values())) == sorted(b"".join(streams))
 
@@ -83,7 +88,7 @@ def test_records_above_16_mb(spark, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     warc.write_archives(pages.coalesce(1), raw)
     warc.normalise(spark, raw, out)
-    (file,) = pathlib.Path(out).glob("archives/*/part-*")
+    (file,) = pathlib.Path(out).glob("part=archives/*/part-*")
     assert len(gzip.decompress(file.read_bytes())) > 17_600_000
     assert sorted(r.payload_bytes for r in warc.read_records(spark, out).collect()) == [1, 17_600_000]
 
