@@ -134,6 +134,31 @@ def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles that overlap, repeat, meet in T-junctions and have holes, on a lattice of quarters."""
+    key = F.col("n_nationkey")
+    kind = key % 4
+    west, south = key % 5 + F.when(kind == 2, 0.5).otherwise(0.0), F.floor(key / F.lit(5.0)).cast("double")
+    wide, high = F.when(kind == 1, 1.5).when(kind == 2, 0.5).otherwise(1.0), F.when(kind == 2, 0.75).otherwise(1.0)
+
+    def box(low: Column, x: Column, y: Column) -> Column:
+        return _ring([(west + low, south + low), (west + x, south + low), (west + x, south + y), (west + low, south + y),
+                      (west + low, south + low)])
+
+    outer, hole = box(F.lit(0.0), wide, high), box(F.lit(0.25), F.lit(0.75), F.lit(0.75))
+    return table(spark, sf_dir, "nation").where(key != 12).select(
+        key.alias("k"), F.when(kind == 3, F.array(outer, hole)).otherwise(F.array(outer))
+        .cast("array<array<struct<x:double,y:double>>>").alias("rings"),
+        F.explode(F.when(key % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point per part, on eighths: inside the blocks, on their borders, and beside them."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key, (key % 53 / 8.0 - 0.25).alias("x"), (F.floor(key / F.lit(53.0)) % 45 / 8.0 - 0.25).alias("y"))
+
+
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         "event_type", F.lit(" near [47."), (F.col("event_id") % 900 + 100).cast("string"),

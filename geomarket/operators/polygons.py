@@ -76,15 +76,17 @@ def _contains(x: str, y: str, margin: float) -> Column:
     px, py, edges = F.col(x), F.col(y), F.col("_edges")
     if margin:
         near = F.exists(edges, lambda e: geometry.edge_distance_sq(e, px, py) <= margin * margin)
-        test = geometry.odd_crossings(edges, px, py) | near
+        odd = geometry.odd_crossings(edges, px, py)
+        test = odd | near if margin > 0 else odd & ~near
     else:
         test = geometry.strictly_inside(edges, px, py)
     return edges.isNull() | test
 
 
-def _matched(points: DataFrame, polygons: DataFrame, x: str, y: str, keep: Sequence[str], side: float,
-             margin: float, how: str) -> DataFrame:
-    cells = cover(polygons, side, margin).select(
+def matched(points: DataFrame, polygons: DataFrame, x: str, y: str, keep: Sequence[str], side: float,
+            margin: float, how: str) -> DataFrame:
+    """Points joined to the polygons that hold them: widened by ``margin``, or made narrower if it is below zero."""
+    cells = cover(polygons, side, abs(margin)).select(
         F.col("cell_x").alias("_cell_x"), F.col("cell_y").alias("_cell_y"), F.col("edges").alias("_edges"), *keep
     )
     squares = build_side(cells, "polygon-cells", F.coalesce(F.size("_edges"), F.lit(0)) + 1)
@@ -96,38 +98,13 @@ def _matched(points: DataFrame, polygons: DataFrame, x: str, y: str, keep: Seque
 def points_in_polygons(points: DataFrame, polygons: DataFrame, *, x: str = "lng", y: str = "lat",
                        keep: Sequence[str] = ("name",), side: float = DEFAULT_SQUARE) -> DataFrame:
     """Each point with the attributes of every polygon it lies within; boundaries do not count."""
-    return _matched(points, polygons, x, y, keep, side, 0.0, "inner")
-
-
-def points_in_region(points: DataFrame, polygons: DataFrame, *, x: str = "lng", y: str = "lat",
-                     side: float = DEFAULT_SQUARE) -> DataFrame:
-    """Points that lie within any of the polygons, each once."""
-    return _matched(points, polygons, x, y, (), side, 0.0, "left_semi")
+    return matched(points, polygons, x, y, keep, side, 0.0, "inner")
 
 
 def points_within_buffer(points: DataFrame, polygons: DataFrame, distance: float, *, x: str = "lng",
                          y: str = "lat", side: float = DEFAULT_SQUARE) -> DataFrame:
     """Points within, or at most ``distance`` degrees away from, any of the polygons."""
-    return _matched(points, polygons, x, y, (), side, distance, "left_semi")
-
-
-def dissolve_outline(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Outline edges of the union of polygons that meet edge to edge.
-
-    An edge shared by two members is inner and cancels out; members must share
-    identical vertices.
-    """
-    ends = with_edges(polygons).select(*by, F.explode("edges").alias("e")).select(
-        *by, F.array_sort(F.array(
-            F.struct(F.col("e.x1").alias("x"), F.col("e.y1").alias("y")),
-            F.struct(F.col("e.x2").alias("x"), F.col("e.y2").alias("y")),
-        )).alias("s")
-    )
-    corners = [F.col("s")[i][axis].alias(f"{axis}{i + 1}") for i in (0, 1) for axis in ("x", "y")]
-    return (
-        ends.select(*by, *corners).groupBy(*by, "x1", "y1", "x2", "y2").agg(F.count("*").alias("_n"))
-        .where("_n = 1").drop("_n")
-    )
+    return matched(points, polygons, x, y, (), side, distance, "left_semi")
 
 
 def region_bounds(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -159,13 +136,6 @@ def grid_points(bounds: DataFrame, number_x: int, number_y: int) -> DataFrame:
     )
 
 
-def uniform_points(polygons: DataFrame, number_x: int, number_y: int, *, keep: Sequence[str] = ("name",),
-                   side: float = DEFAULT_SQUARE) -> DataFrame:
-    """Evenly spaced points of the common extent that fall within a polygon."""
-    grid = grid_points(region_bounds(polygons), number_x, number_y)
-    return points_in_polygons(grid, polygons, x="x", y="y", keep=keep, side=side)
-
-
 def polygon_parts(shapes: DataFrame, key: str) -> DataFrame:
     """One row per part of a multi-part polygon (``parts: array<rings>``)."""
     return shapes.select(key, F.posexplode("parts").alias("part", "rings"))

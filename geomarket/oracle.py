@@ -66,6 +66,20 @@ _FIXTURES = {
         from nation cross join (values (0, 0, 0, 1, 0), (1, 1, 0, 1, 1), (2, 1, 1, 0, 1), (3, 0, 1, 0, 0))
           e(seq, ax, ay, bx, cy)
         where n_nationkey <> 12""",
+    "fx_blocks": """
+        select n_nationkey as k, n_nationkey%4 = 3 as hollow, n_nationkey%5 + case when n_nationkey%4 = 2 then 0.5e0 else 0e0 end as west,
+          floor(n_nationkey/5e0) as south, case n_nationkey%4 when 1 then 1.5e0 when 2 then 0.5e0 else 1e0 end as wide,
+          case when n_nationkey%4 = 2 then 0.75e0 else 1e0 end as high
+        from nation where n_nationkey <> 12""",
+    # Quarters of a unit that some block covers, and all others around them.
+    "raster": """
+        select i, j, exists (select 1 from fx_blocks b where (i + 0.5e0)/4 between west and west + wide
+          and (j + 0.5e0)/4 between south and south + high
+          and not (hollow and (i + 0.5e0)/4 between west + 0.25e0 and west + 0.75e0
+            and (j + 0.5e0)/4 between south + 0.25e0 and south + 0.75e0)) as covered
+        from range(-4, 32) gi(i), range(-4, 28) gj(j)""",
+    "fx_lattice": """
+        select p_partkey, p_partkey%53/8e0 - 0.25e0 as x, floor(p_partkey/53e0)%45/8e0 - 0.25e0 as y from part""",
     "fx_chat": """
         select event_id, event_type || ' near [47.' || cast(100 + event_id%900 as string) || ', -122.'
           || cast(100 + user_id%400 as string) || '] please' as text
@@ -96,7 +110,7 @@ _FIXTURES = {
           avg(price_per_sqft) as z
         from priced where price_per_sqft is not null group by 1, 2""",
 }
-_NEEDS = {
+_NEEDS = {"raster": ["fx_blocks"], 
     "fx_vertices": ["fx_district_edges"], "priced": ["fx_sales"], "found_places": ["fx_places"],
     "merged": ["fx_listings_a", "fx_listings_b"], "monthly": ["priced"], "extent": ["fx_district_edges"],
     "grid": ["extent"], "samples": ["priced"],
@@ -117,6 +131,8 @@ def _with(names: str, body: str) -> str:
         add(name)
     ctes = [f"{name} as ({_FIXTURES[name]})" for name in ordered]
     body = body.strip()
+    if body.startswith("with recursive "):
+        return "with recursive " + ", ".join(ctes) + ", " + body[15:]
     if body.startswith("with "):
         return "with " + ", ".join(ctes) + ", " + body[5:]
     return "with " + ", ".join(ctes) + " " + body
@@ -182,6 +198,19 @@ def _inside(points: str, x: str, y: str, columns: str, where: str = "true") -> s
         having count(*) filter ({crossing})%2 = 1 and count(*) filter ({touching}) = 0"""
 
 
+def _in_union(points: str, x: str, y: str, columns: str, where: str = "true") -> str:
+    """Brute force: points all of whose neighbours, eight around them, are in some district; a border between two is not one."""
+    around = " union all ".join(
+        f"select rid, {k} as n, {x} + {2e-9*math.cos((k + 0.5)*math.pi/4)!r} as nx, {y} + {2e-9*math.sin((k + 0.5)*math.pi/4)!r} as ny from numbered"
+        for k in range(8))
+    return f"""
+        with numbered as (select row_number() over () as rid, * from {points}), around as ({around}),
+        held as (select rid, n from around cross join fx_district_edges e where {where} group by rid, n, e.name
+          having count(*) filter ({_CROSSES.format(x="nx", y="ny")})%2 = 1),
+        inner_points as (select rid from held group by rid having count(distinct n) = 8)
+        select {columns} from numbered where rid in (select rid from inner_points)"""
+
+
 _CLUSTER_SIDE = repr(360.0 / 2**11 * 80 / 256)
 _IN_AREA = "lat between 47.35e0 and 47.6e0 and lng between -122.3e0 and -122.0e0"
 _RAMP = {"red": (255, 198), "green": (223, 88), "blue": (142, 36)}
@@ -336,8 +365,8 @@ ORACLE: dict[str, str] = {
                                 _inside("(select sale_price, lat, lng from fx_sales)", "lng", "lat",
                                         "sale_price, lat, lng, e.name")),
     "points_in_region": _with("fx_sales fx_district_edges",
-                              _inside("(select sale_price, lat, lng from fx_sales)", "lng", "lat",
-                                      "sale_price, lat, lng", f"e.name in {_DISTRICT_LIST}")),
+                              _in_union("(select sale_price, lat, lng from fx_sales)", "lng", "lat",
+                                        "sale_price, lat, lng", f"e.name in {_DISTRICT_LIST}")),
     "points_within_buffer": _with("fx_sales fx_district_edges", f"""
         with numbered as (select row_number() over () as rid, sale_price, lat, lng from fx_sales),
         tested as (
@@ -360,25 +389,34 @@ ORACLE: dict[str, str] = {
         select name, min(least(x1, x2)) as min_x, min(least(y1, y2)) as min_y, max(greatest(x1, x2)) as max_x,
           max(greatest(y1, y2)) as max_y from fx_district_edges group by name"""),
     "grid_points": _with("grid", "select cast(grid_x as int) as grid_x, cast(grid_y as int) as grid_y, x, y from grid"),
-    "uniform_points": _with("extent", f"""
-        with fine as (select cast(gx.i as int) as grid_x, cast(gy.i as int) as grid_y,
-            min_x + gx.i*(max_x - min_x)/19e0 as x, min_y + gy.i*(max_y - min_y)/19e0 as y
-          from extent, range(20) gx(i), range(20) gy(i))
-        select grid_x, grid_y, x, y, e.name from fine cross join fx_district_edges e group by grid_x, grid_y, x, y, e.name
-        having count(*) filter ({_CROSSES.format(x="x", y="y")})%2 = 1
-          and count(*) filter ({_ON_EDGE.format(x="x", y="y")}) = 0"""),
-    "search_points": _with("fx_district_edges", f"""
-        with chosen as (select * from fx_district_edges where name in {_DISTRICT_LIST}),
-        span as (select min(x1) as min_x, max(x1) as max_x, min(y1) as min_y, max(y1) as max_y from chosen),
-        fine as (select cast(gx.i as int) as grid_x, cast(gy.i as int) as grid_y,
-            min_x + gx.i*(max_x - min_x)/9e0 as x, min_y + gy.i*(max_y - min_y)/12e0 as y
-          from span, range(10) gx(i), range(13) gy(i))
-        select grid_x, grid_y, x, y, e.name, cast(3200 as int) as radius,
+    "uniform_points": _with("extent fx_district_edges", _in_union("""(
+          select cast(gx.i as int) as grid_x, cast(gy.i as int) as grid_y, min_x + gx.i*(max_x - min_x)/19e0 as x,
+            min_y + gy.i*(max_y - min_y)/19e0 as y from extent, range(20) gx(i), range(20) gy(i))""",
+        "x", "y", "grid_x, grid_y, x, y")),
+    "search_points": _with("fx_district_edges", _in_union(f"""(
+          select cast(gx.i as int) as grid_x, cast(gy.i as int) as grid_y, min_x + gx.i*(max_x - min_x)/9e0 as x,
+            min_y + gy.i*(max_y - min_y)/12e0 as y
+          from (select min(x1) as min_x, max(x1) as max_x, min(y1) as min_y, max(y1) as max_y
+            from fx_district_edges where name in {_DISTRICT_LIST}), range(10) gx(i), range(13) gy(i))""",
+        "x", "y", """grid_x, grid_y, x, y, cast(3200 as int) as radius,
           cast(round(x, 5) as varchar) || ' ' || cast(round(y, 5) as varchar) as lng_lat,
-          cast(round(y, 5) as varchar) || ',' || cast(round(x, 5) as varchar) as lat_lng
-        from fine cross join chosen e group by grid_x, grid_y, x, y, e.name
-        having count(*) filter ({_CROSSES.format(x="x", y="y")})%2 = 1
-          and count(*) filter ({_ON_EDGE.format(x="x", y="y")}) = 0"""),
+          cast(round(y, 5) as varchar) || ',' || cast(round(x, 5) as varchar) as lat_lng""",
+        f"e.name in {_DISTRICT_LIST}")),
+    # Parts and holes as groups of neighbouring quarters; a hole belongs to the part beside it.
+    "dissolved_parts": _with("raster", """
+        with recursive cells as (select row_number() over (order by i, j) as c, * from raster),
+        sides as (select a.c, b.c as d, a.covered, b.covered as other from cells a join cells b
+          on abs(a.i - b.i) + abs(a.j - b.j) = 1),
+        reach as (select c, c as root from cells union select s.d, r.root from reach r join sides s on s.c = r.c
+          where s.covered = s.other),
+        labelled as (select c, min(root) as root from reach group by c),
+        parts as (select root, count(*)/16e0 as area from labelled join cells using (c) where covered group by root),
+        borders as (select p.root, h.root as beside, count(*)/4e0 as length
+          from sides s join labelled p on p.c = s.c join labelled h on h.c = s.d where s.covered and not s.other group by 1, 2)
+        select area, sum(length) as length, count(*) as n_rings from parts join borders using (root) group by root, area"""),
+    "points_in_dissolved": _with("raster fx_lattice", """
+        select p_partkey, x, y from fx_lattice p where (select count(*) from raster r cross join (values (-1), (1)) a(dx)
+          cross join (values (-1), (1)) b(dy) where covered and i = floor((x + dx*1e-6)*4) and j = floor((y + dy*1e-6)*4)) = 4"""),
     "polygon_parts": _with("fx_district_edges", """
         select name, cast(part as int) as part, cast(6 as int) as corners, x1 + part*1e0 as x, y1 as y
         from fx_district_edges cross join range(2) p(part) where seq = 0"""),

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from geomarket.functions import cells as cell_functions
 from geomarket.functions import text
-from geomarket.operators import cells, clean, polygons
+from geomarket.operators import cells, clean, regions
 
 
 def search_points(districts: DataFrame, names: list[str], number_x: int, number_y: int, radius_m: int) -> DataFrame:
-    """Evenly spaced points within the named districts, with their search strings."""
+    """Evenly spaced points within the union of the named districts, with their search strings."""
     chosen = districts.where(F.col("name").isin(*names))
-    points = polygons.uniform_points(chosen, number_x, number_y)
+    points = regions.uniform_points(chosen, number_x, number_y)
     return points.withColumns({
         "radius": F.lit(radius_m),
         "lng_lat": text.search_string(F.col("x"), F.col("y")),

@@ -12,7 +12,7 @@ from geomarket import schema
 from geomarket.functions import cells as cell_functions
 from geomarket.functions import colour, geometry, text
 from geomarket.operators import (
-    cells, clean, filters, labels, near, polygons, quantiles, summary, surface, trends,
+    cells, clean, filters, labels, near, polygons, quantiles, regions, summary, surface, trends,
 )
 from geomarket.plans import acquisition, dashboard, rebasing
 from geomarket.session import scratch_path, written
@@ -403,7 +403,7 @@ def points_in_polygons(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def points_in_region(spark: SparkSession, sf: str) -> DataFrame:
     sales = fx.sales(spark, sf).select("sale_price", "lat", "lng")
-    return polygons.points_in_region(sales, filters.by_name(_districts(spark, sf), "name", DISTRICTS))
+    return regions.points_in_region(sales, filters.by_name(_districts(spark, sf), "name", DISTRICTS))
 
 
 @query
@@ -414,7 +414,20 @@ def points_within_buffer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dissolve_outline(spark: SparkSession, sf: str) -> DataFrame:
-    return polygons.dissolve_outline(fx.squares(spark, sf))
+    return regions.dissolve_outline(fx.squares(spark, sf))
+
+
+@query
+def dissolved_parts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = regions.dissolve(fx.blocks(spark, sf), side=0.5)
+    edges = geometry.polygon_edges(F.col("rings"))
+    length = F.aggregate(edges, F.lit(0.0), lambda a, e: a + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]))
+    return parts.select("area", length.alias("length"), F.size("rings").cast("long").alias("n_rings"))
+
+
+@query
+def points_in_dissolved(spark: SparkSession, sf: str) -> DataFrame:
+    return regions.points_in_region(fx.lattice(spark, sf), fx.blocks(spark, sf), x="x", y="y", side=0.5)
 
 
 @query
@@ -429,7 +442,7 @@ def grid_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def uniform_points(spark: SparkSession, sf: str) -> DataFrame:
-    return polygons.uniform_points(_districts(spark, sf), 20, 20)
+    return regions.uniform_points(_districts(spark, sf), 20, 20)
 
 
 @query

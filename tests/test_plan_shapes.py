@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from geomarket import fixtures as fx
 from geomarket import queries, session
-from geomarket.operators import cells, clean, filters, near, polygons, surface, trends
+from geomarket.operators import cells, clean, filters, near, polygons, regions, surface, trends
 from geomarket.plans import dashboard
 
 
@@ -94,7 +94,7 @@ def test_multiplied_sides_are_measured_before_a_broadcast(spark, small_dir, monk
 
     def joins():
         return [
-            polygons.points_in_polygons(sales, districts), polygons.points_in_region(sales, districts),
+            polygons.points_in_polygons(sales, districts), regions.points_in_region(sales, districts),
             near.near_places(listings, places), near.nearest_place(listings, places, key="pos"),
             surface.kriging_neighbours(samples, surface.grid_nodes(samples, 5, 5), k=4),
         ]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geomarket.operators import polygons as pg
+from geomarket.operators import regions
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -58,7 +59,7 @@ def test_overlapping_stars_equal_brute_force(spark):
     expected = sorted((x, y, k) for x, y in xy for k, ring in rings.items() if brute_inside(ring, x, y))
     for side in (0.1, 0.45):
         assert hits(pg.points_in_polygons(points(spark, *xy), polygons, x="x", y="y", side=side)) == expected
-    once = pg.points_in_region(points(spark, *xy), polygons, x="x", y="y", side=0.2)
+    once = regions.points_in_region(points(spark, *xy), polygons, x="x", y="y", side=0.2)
     assert once.count() == len({(x, y) for x, y, _ in expected})
 
 
@@ -84,9 +85,9 @@ def test_dissolve_does_not_depend_on_order(spark):
     tiles = {f"t{i}{j}": [[(float(i + a), float(j + b)) for a, b in SQUARE]] for i in range(3) for j in range(3)}
     del tiles["t11"]
     df = shapes(spark, **tiles)
-    outline = {tuple(r) for r in pg.dissolve_outline(df).collect()}
+    outline = {tuple(r) for r in regions.dissolve_outline(df).collect()}
     assert len(outline) == 12 + 4
-    assert outline == {tuple(r) for r in pg.dissolve_outline(df.orderBy(F.col("name").desc())).collect()}
+    assert outline == {tuple(r) for r in regions.dissolve_outline(df.orderBy(F.col("name").desc())).collect()}
 
 
 def test_grid_and_bounds(spark):
@@ -95,7 +96,7 @@ def test_grid_and_bounds(spark):
     assert tuple(bounds.first()) == (0.0, 0.0, 3.0, 1.0)
     grid = pg.grid_points(bounds, 4, 3).collect()
     assert [(r["x"], r["y"]) for r in grid] == [(x, y) for x in (0.0, 1.0, 2.0, 3.0) for y in (0.0, 0.5, 1.0)]
-    inside = pg.uniform_points(polygons, 7, 5).collect()
+    inside = regions.uniform_points(polygons, 7, 5).collect()
     assert sorted((r["x"], r["y"]) for r in inside) == [(0.5, 0.25), (0.5, 0.5), (0.5, 0.75), (2.5, 0.25)]
 
 
