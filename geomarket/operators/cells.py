@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geomarket.functions import cells
 from geomarket.functions.cells import DEFAULT_GRID, CellGrid
-from geomarket.operators.quantiles import quantiles
+from geomarket.operators.quantiles import Total, quantiles
 
 # Fixed value: markers closer than this many pixels share a cluster; a world tile is 256 pixels wide.
 CLUSTER_PIXELS = 80
@@ -27,7 +27,7 @@ def cell_medians(listings: DataFrame, *, exact: bool = False) -> DataFrame:
     """Per cell: median price per area and number of listings."""
     known = listings.where(F.col("pricePerSqft").isNotNull() & F.col("cell").isNotNull())
     return quantiles(
-        known, "pricePerSqft", {"median_ppsf": 0.5}, exact=exact, by=["cell"], extra=[F.count("zpid").alias("count")]
+        known, "pricePerSqft", {"median_ppsf": 0.5}, exact=exact, by=["cell"], extra=[Total("count", "count", "zpid")]
     )
 
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geomarket.operators.quantiles import exact_quantiles, quantiles
+from geomarket.operators.quantiles import Total, exact_quantiles, quantiles
 
 QUARTILES = {"lq": 0.25, "uq": 0.75}
 
 
 def numerical_summary(df: DataFrame, column: str, *, with_quartiles: bool = True, exact: bool = False) -> DataFrame:
     """One row: ``min``, ``max`` and, on request, the lower and upper quartile."""
-    ends = [F.min(column).alias("min"), F.max(column).alias("max")]
+    ends = [Total("min", "min", column), Total("max", "max", column)]
     if not with_quartiles:
-        return df.agg(*ends)
+        return df.agg(*(end.part() for end in ends))
     return quantiles(df, column, QUARTILES, exact=exact, extra=ends)
 
 
@@ -35,7 +35,7 @@ def slider_bounds(summary: DataFrame, digits: int = 4) -> DataFrame:
 
 def headline_metrics(df: DataFrame, column: str, *, exact: bool = False) -> DataFrame:
     """One row: ``count`` of all rows, ``sum`` and ``median`` of a column."""
-    totals = [F.count("*").alias("count"), F.sum(column).alias("sum")]
+    totals = [Total("count", "count"), Total("sum", "sum", column)]
     return quantiles(df, column, {"median": 0.5}, exact=exact, extra=totals)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geomarket.operators.clean import with_baths
-from geomarket.operators.quantiles import quantiles
+from geomarket.operators.quantiles import Total, quantiles
 
 # The labels of the two series.
 ALL_AREAS, FILTERED_AREA = "All areas", "Filtered area"
@@ -16,7 +16,7 @@ def monthly_medians(sales: DataFrame, *, exact: bool = False) -> DataFrame:
     """Per month: median price per area, and the number of sales with a known area."""
     return quantiles(
         sales, "price_per_sqft", {"median_price_per_sqft": 0.5}, exact=exact, by=["year_month"],
-        extra=[F.count("sqft").alias("observations")], bounded_groups=True,
+        extra=[Total("observations", "count", "sqft")], bounded_groups=True,
     )
 
 
@@ -27,12 +27,12 @@ def monthly_sales(sales: DataFrame, in_area: Column, *, exact: bool = False) ->
     same scan instead of a union of two aggregates.
     """
     labels = F.filter(
-        F.array(F.lit("All areas"), F.when(in_area, F.lit("Filtered area"))), lambda label: label.isNotNull()
+        F.array(F.lit(ALL_AREAS), F.when(in_area, F.lit(FILTERED_AREA))), lambda label: label.isNotNull()
     )
     labelled = sales.select("year_month", "price_per_sqft", "sqft", F.explode(labels).alias("location"))
     return quantiles(
         labelled, "price_per_sqft", {"median_price_per_sqft": 0.5}, exact=exact, by=["year_month", "location"],
-        extra=[F.count("sqft").alias("observations")], bounded_groups=True,
+        extra=[Total("observations", "count", "sqft")], bounded_groups=True,
     ).orderBy("year_month", "location")
 
 

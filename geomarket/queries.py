@@ -269,7 +269,7 @@ def price_quartiles_linear(spark: SparkSession, sf: str) -> DataFrame:
 def approx_price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.approx_quantiles(
         _sales(spark, sf), "price_per_sqft", {"lq": 0.25, "median": 0.5, "uq": 0.75}, by=["year_month"],
-        extra=[F.count("price_per_sqft").alias("n")],
+        extra=[quantiles.Total("n", "count", "price_per_sqft")],
     )
 
 
