@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geomarket.llm.tables import collected_bits, maybe_in, maybe_rows, written
 from geomarket.llm.tasks import arrow_schema, fields, rows_from, with_columns
@@ -30,6 +31,8 @@ SUPPORT, BITS, BITS_REMOVED = 3, 1.0, 0.15
 TERM_BYTES = 4
 # Rows of lines with a term or an entity that a task hands on at once.
 BLOCK_ROWS = 100_000
+# Texts that are strings in a task at once when they are sanitised.
+SLICE = 256
 PLACEHOLDERS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -344,23 +347,27 @@ def _masked(text: str, terms: list[dict]) -> str:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The same rows with personal data replaced by placeholders, and ``n_chars``, if there, brought up to date.
 
-    A null text stays null.
+    A null text stays null. A task holds one copy of a batch's texts, and ``SLICE`` of them as strings.
     """
-    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        names = batch.schema.names
-        texts, terms = (batch.column(names.index(c)).to_pylist() for c in ("text", "terms"))
-        clean = [None if t is None else _masked(t, s or []) for t, s in zip(texts, terms, strict=True)]
-        return {"clean": pa.array(clean, pa.string())}
-
     _, places = _analysed(docs)
-    mine = docs.select(F.struct("*").alias("document"), *_identity(docs)[:1], F.col("text"))
+    others = [c for c in docs.columns if c != "text"]
+    mine = docs.select(F.struct(*others).alias("document"), *_identity(docs)[:1], F.col("text"))
     bits = collected_bits(places, F.col("key"))
     # Texts without a revealing term are not shuffled.
     nothing = F.lit(None).cast(places.schema["terms"].dataType).alias("terms")
     wanted = ["document", "text", "terms"]
     rows = maybe_rows(mine, F.col("key"), bits).join(places, "key", "left").select(wanted).unionByName(
         maybe_rows(mine, F.col("key"), ~bits).select("document", "text", nothing))
-    done = with_columns(rows, compute, fields(clean="string"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [None if t is None else _masked(t, s or [])
+                         for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["document", "clean"])
+
+    done = rows.mapInArrow(clean, T.StructType([rows.schema["document"], T.StructField("clean", T.StringType())]))
     changed = {"text": F.col("clean"), "n_chars": F.char_length("clean")}
     kinds = dict(docs.dtypes)
     return done.select([
