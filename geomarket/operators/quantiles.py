@@ -110,6 +110,7 @@ def exact_quantiles(
     extra: Sequence[Total] = (),
     linear: bool = False,
     bounded_groups: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, one column per entry of ``probs``.
 
@@ -126,14 +127,16 @@ def exact_quantiles(
 
     ``bounded_groups`` says the number of groups is bounded by their meaning
     (calendar months, one global group) and may be broadcast; otherwise the
-    engine picks the join by size.
+    engine picks the join by size. With ``weight`` a row stands for that many equal ones;
+    ``extra`` still sees it once.
     """
     keys = list(by) or ["_one"]
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = df if by else df.withColumn("_one", F.lit(0))
     keyed = with_ordered_key(rows, F.col(value), "_key")
     first = 64 - DIGITS[0]
     digits = written(keyed.groupBy(*keys, F.shiftright("_key", first).alias("_part")).agg(
-        F.count("_key").alias("_c"), *(t.part() for t in extra)), "digits")
+        F.sum(F.when(F.col("_key").isNotNull(), times).otherwise(0)).alias("_c"), *(t.part() for t in extra)), "digits")
     totals = [F.sum("_c").alias("_n"), *(t.whole() for t in extra)]
     groups = digits.groupBy(*keys).agg(*totals) if by else digits.agg(*totals).withColumn("_one", F.lit(0))
 
@@ -165,10 +168,10 @@ def exact_quantiles(
     start = F.shiftleft("_held", first)
     asked = targets.select(*(F.col(c).alias(f"_by_{c}") for c in keys), key_value(start).alias("_low"),
                            key_value(start + ((1 << first) - 1)).alias("_high")).distinct()
-    within = rows.select(*keys, F.col(value).cast("double").alias("_value")).join(
+    within = rows.select(*keys, F.col(value).cast("double").alias("_value"), times.alias("_times")).join(
         side(asked), _same(keys) & F.col("_value").between(F.col("_low"), F.col("_high")))
     candidates = written(with_ordered_key(
-        within.groupBy(*keys, "_value").agg(F.count("*").alias("_c")), F.col("_value"), "_key").drop("_value"), "candidates")
+        within.groupBy(*keys, "_value").agg(F.sum("_times").alias("_c")), F.col("_value"), "_key").drop("_value"), "candidates")
     left = first
     for bits in DIGITS[1:]:
         wanted = targets.withColumnsRenamed({c: f"_by_{c}" for c in keys})

@@ -618,20 +618,17 @@ def _sales_stream(spark: SparkSession, sf: str) -> DataFrame:
         spark.readStream.schema(fx.table(spark, sf, "lineitem").schema).parquet(f"{sf}/lineitem.parquet*"))
 
 
+def _counted_sales(spark: SparkSession, sf: str) -> str:
+    table = scratch_path(spark, "value-counts")
+    monthly_stream.start_value_counts(_sales_stream(spark, sf), table, scratch_path(spark, "stream-state")).awaitTermination()
+    return table
+
+
 @query
 def stream_monthly_counts(spark: SparkSession, sf: str) -> DataFrame:
-    table, checkpoint = scratch_path(spark, "daily-counts"), scratch_path(spark, "stream-state")
-    monthly_stream.start_daily_counts(
-        _sales_stream(spark, sf), table, checkpoint, lateness="3650 days").awaitTermination()
-    undated = scratch_path(spark, "undated-counts")
-    monthly_stream.start_undated_counts(
-        _sales_stream(spark, sf), undated, scratch_path(spark, "stream-state")).awaitTermination()
-    return monthly_stream.monthly_counts(spark, table, undated)
+    return monthly_stream.monthly_counts(spark, _counted_sales(spark, sf))
 
 
 @query
 def stream_monthly_medians(spark: SparkSession, sf: str) -> DataFrame:
-    land, table = scratch_path(spark, "landed-sales"), scratch_path(spark, "monthly-medians")
-    monthly_stream.start_monthly_medians(
-        _sales_stream(spark, sf), land, table, scratch_path(spark, "stream-state")).awaitTermination()
-    return monthly_stream.latest_medians(spark, table)
+    return monthly_stream.monthly_medians(spark, _counted_sales(spark, sf))

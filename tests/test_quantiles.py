@@ -126,6 +126,16 @@ def test_a_group_is_spread_over_the_tasks(spark, sf_dir):
     assert kept < 0.02, "a digit's share of the rows is what the second scan keeps"
 
 
+def test_weights_stand_for_equal_rows(spark):
+    rng = random.Random(12)
+    rows = [("a", rng.randint(0, 50) / 7, rng.randint(0, 9)) for _ in range(300)] + [("a", None, 5), ("b", 2.5, 0)]
+    got = {r["g"]: r for r in exact_quantiles(
+        spark.createDataFrame(rows, "g string, v double, w int"), "v", {"q1": 0.25, "m": 0.5}, by=["g"], weight="w").collect()}
+    values = [v for g, v, w in rows for _ in range(w) if g == "a"]
+    assert (got["a"]["q1"], got["a"]["m"]) == (discrete(values, 0.25), discrete(values, 0.5))
+    assert got["b"]["m"] is None
+
+
 def test_empty_frame(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert exact_quantiles(empty, "v", {"m": 0.5}, by=["g"]).collect() == []

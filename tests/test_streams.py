@@ -83,7 +83,7 @@ def test_daily_counts_over_batches(spark, small_dir, tmp_path, settings, zone):
     query.awaitTermination()
     expected = clean.with_year_month(sales).groupBy("year_month").agg(
         F.count("*").alias("sales"), F.count("sqft").alias("observations"))
-    assert rows(monthly_stream.monthly_counts(spark, f"{tmp_path}/days")) == rows(expected)
+    assert rows(monthly_stream.daily_totals(spark, f"{tmp_path}/days")) == rows(expected)
     assert len(query.recentProgress) >= 4
 
 
@@ -95,39 +95,42 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     query = monthly_stream.start_daily_counts(
         stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/days", f"{tmp_path}/state", lateness="5 days")
     query.awaitTermination()
-    got = {r["year_month"]: r["sales"] for r in monthly_stream.monthly_counts(spark, f"{tmp_path}/days").collect()}
+    got = {r["year_month"]: r["sales"] for r in monthly_stream.daily_totals(spark, f"{tmp_path}/days").collect()}
     dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
     assert got == {202103: 4}
     assert dropped == 1
 
 
-def test_medians_over_batches(spark, small_dir, tmp_path):
-    sales = fx.sales(spark, small_dir)
-    sales.orderBy("sale_date").repartition(3, F.rand(3)).write.parquet(f"{tmp_path}/sales")
-    monthly_stream.start_monthly_medians(
-        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/land", f"{tmp_path}/medians", f"{tmp_path}/state",
-    ).awaitTermination()
-    expected = trends.monthly_medians(clean.with_year_month(clean.with_price_per_sqft(sales)), exact=True)
-    assert rows(monthly_stream.latest_medians(spark, f"{tmp_path}/medians")) == rows(expected)
+def by_month(df):
+    return {r["year_month"]: r.asDict() for r in df.collect()}
 
 
-def test_sales_without_a_date_are_kept(spark, small_dir, tmp_path):
+@pytest.mark.parametrize("fold_every", [3, 100])
+def test_counts_and_medians_over_batches(spark, small_dir, tmp_path, fold_every):
+    """Undated and late sales included; each sale is read once."""
     sales = fx.sales(spark, small_dir).withColumn("sale_date", F.expr("if(year_built % 7 = 0, null, sale_date)"))
-    sales.repartition(3, F.rand(3)).write.parquet(f"{tmp_path}/sales")
-    start = dict(lateness="4000 days")
-    monthly_stream.start_daily_counts(
-        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/days", f"{tmp_path}/a", **start).awaitTermination()
-    monthly_stream.start_undated_counts(
-        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/undated", f"{tmp_path}/b").awaitTermination()
-    monthly_stream.start_monthly_medians(
-        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/land", f"{tmp_path}/medians", f"{tmp_path}/c").awaitTermination()
-
-    def by_month(df):
-        return {r["year_month"]: r.asDict() for r in df.collect()}
-
+    sales.repartition(7, F.rand(3)).write.parquet(f"{tmp_path}/sales")
+    query = monthly_stream.start_value_counts(
+        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/counts", f"{tmp_path}/state", fold_every=fold_every)
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == sales.count()
+    assert len(query.recentProgress) >= 7
     expected = by_month(clean.with_year_month(sales).groupBy("year_month").agg(
         F.count("*").alias("sales"), F.count("sqft").alias("observations")))
     assert None in expected
-    assert by_month(monthly_stream.monthly_counts(spark, f"{tmp_path}/days", f"{tmp_path}/undated")) == expected
+    assert by_month(monthly_stream.monthly_counts(spark, f"{tmp_path}/counts")) == expected
     medians = trends.monthly_medians(clean.with_year_month(clean.with_price_per_sqft(sales)), exact=True)
-    assert by_month(monthly_stream.latest_medians(spark, f"{tmp_path}/medians")) == by_month(medians)
+    assert by_month(monthly_stream.monthly_medians(spark, f"{tmp_path}/counts")) == by_month(medians)
+
+
+def test_a_retried_batch_counts_once(spark, small_dir, tmp_path):
+    sales = fx.sales(spark, small_dir)
+    sales.repartition(4, F.rand(3)).write.parquet(f"{tmp_path}/sales")
+    monthly_stream.start_value_counts(
+        stream_of(spark, f"{tmp_path}/sales", sales), f"{tmp_path}/counts", f"{tmp_path}/state", fold_every=2).awaitTermination()
+    before = by_month(monthly_stream.monthly_counts(spark, f"{tmp_path}/counts"))
+    # What a batch that ran again would do: its own folder, then the fold that ends with it.
+    again = spark.read.schema(monthly_stream._COUNTS).parquet(f"{tmp_path}/counts/batches/batch=3")
+    monthly_stream._added_up(monthly_stream._parts(spark, f"{tmp_path}/counts", 3)).write.mode("overwrite").parquet(
+        f"{tmp_path}/counts/folds/upto=3")
+    assert again.count() > 0 and by_month(monthly_stream.monthly_counts(spark, f"{tmp_path}/counts")) == before
