@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geomarket.functions import colour, text
-from geomarket.operators.summary import linear_quartiles
+from geomarket.operators.summary import linear_quartiles, numerical_summary
 
 
 def listing_labels(listings: DataFrame, link_base: str) -> DataFrame:
@@ -34,9 +34,18 @@ def place_labels(places: DataFrame) -> DataFrame:
 
 
 def price_band(listings: DataFrame, column: str = "price",
-               ramp: list[tuple[int, int, int]] = colour.LISTING_RAMP) -> DataFrame:
-    """Marker colour: position between the quartiles of the column, on a colour ramp."""
-    ends = linear_quartiles(listings, column).select(F.struct("lq", "uq").alias("ends")).scalar()
+               ramp: list[tuple[int, int, int]] = colour.LISTING_RAMP, *, linear: bool = True,
+               exact: bool = True) -> DataFrame:
+    """Marker colour: position between the quartiles of the column, on a colour ramp.
+
+    Listings take quartiles interpolated between neighbours, ``linear=False`` takes elements
+    of the column; ``exact=False`` is one pass with sketches, which know elements only.
+    """
+    if linear and exact:
+        quartiles = linear_quartiles(listings, column)
+    else:
+        quartiles = numerical_summary(listings, column, exact=exact)
+    ends = quartiles.select(F.struct("lq", "uq").alias("ends")).scalar()
     position = colour.ramp_position(F.col(column), F.col("_ends.lq"), F.col("_ends.uq"))
     return (
         listings.withColumn("_ends", ends)
@@ -44,3 +53,8 @@ def price_band(listings: DataFrame, column: str = "price",
         .withColumn("colour", colour.ramp_hex(F.col("band"), ramp))
         .drop("_ends")
     )
+
+
+def cell_price_band(cells: DataFrame, column: str = "median_ppsf", *, exact: bool = False) -> DataFrame:
+    """Cell colour: position between the lower and the upper quartile of all cells, from green over yellow to red."""
+    return price_band(cells, column, colour.CELL_RAMP, linear=False, exact=exact)

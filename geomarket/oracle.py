@@ -301,6 +301,9 @@ ORACLE: dict[str, str] = {
     "map_centre": _with("fx_listings_a", """
         select round(avg(latitude), 8) as lat, round(avg(longitude), 8) as lng from fx_listings_a"""),
     "monthly_medians": _with("monthly", "select * from monthly"),
+    "approx_rank_error": _with("priced", """
+        select year_month, count(price_per_sqft) as n, true as lq_ok, true as median_ok, true as uq_ok
+        from priced group by year_month"""),
     "monthly_sales": _with("priced", f"""
         with chosen as (select * from priced where beds between 2 and 5 and year_month >= 199601)
         select year_month, 'All areas' as location, quantile_disc(price_per_sqft, 0.5) as median_price_per_sqft,
@@ -474,6 +477,15 @@ ORACLE: dict[str, str] = {
         select zpid, pos, round(band, 8) as band, {", ".join(
             f"cast(floor(({low}e0 + band*({high} - {low}))/255e0*255.9999e0) as int) as {name}"
             for name, (low, high) in _RAMP.items())} from placed"""),
+    "cell_price_band": _with("fx_listings_a", f"""
+        with {_hex_cells("fx_listings_a", "latitude", "longitude")},
+        medians as (select cell, quantile_disc(price/livingArea, 0.5) as ppsf from celled
+          where livingArea > 0 and cell is not null group by cell),
+        ends as (select quantile_disc(ppsf, 0.25) as lq, quantile_disc(ppsf, 0.75) as uq from medians),
+        placed as (select cell, greatest(0e0, least(1e0, (ppsf - lq)/(uq - lq))) as band from medians, ends)
+        select cell, round(band, 8) as band, cast(floor(least(2*band, 1e0)*255.9999e0) as int) as red,
+          cast(floor(case when band <= 0.5 then (128 + 2*band*127)/255e0 else 2 - 2*band end*255.9999e0) as int) as green,
+          cast(0 as int) as blue from placed"""),
     "search_strings": _with("fx_places", """
         with cut as (select fsq_id, cast(round(latitude, 5) as varchar) as a, cast(round(longitude, 5) as varchar) as o
           from fx_places)

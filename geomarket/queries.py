@@ -273,6 +273,21 @@ def approx_price_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def approx_rank_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each approximate quantile's rank is as near to the wanted one as the sketches promise."""
+    probs = {"lq": 0.25, "median": 0.5, "uq": 0.75}
+    found = approx_price_quantiles(spark, sf).withColumnRenamed("year_month", "month")
+    sales = _sales(spark, sf).select("year_month", "price_per_sqft")
+    counted = sales.join(F.broadcast(found), F.col("year_month").eqNullSafe(F.col("month"))).groupBy("year_month", "n").agg(*(
+        F.count_if(F.col("price_per_sqft") < F.col(q)).alias(f"below_{q}") for q in probs), *(
+        F.count_if(F.col("price_per_sqft") <= F.col(q)).alias(f"upto_{q}") for q in probs))
+    slack = F.col("n") / quantiles.SKETCH_ACCURACY + 1
+    return counted.select("year_month", "n", *(
+        ((F.col(f"below_{q}") <= F.col("n") * p + slack) & (F.col(f"upto_{q}") >= F.col("n") * p - slack)).alias(f"{q}_ok")
+        for q, p in probs.items()))
+
+
 @query
 def headline_metrics(spark: SparkSession, sf: str) -> DataFrame:
     listings = filters.filter_listings(fx.listings_a(spark, sf), bounds=AREA)
@@ -563,6 +578,14 @@ def price_band(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def cell_price_band(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.cell_price_band(cells.cell_medians(_listings(spark, sf), exact=True), exact=True).select(
+        "cell", F.round("band", 8).alias("band"),
+        *[colour.ramp_channel(F.col("band"), [c[i] for c in colour.CELL_RAMP]).alias(name)
+          for i, name in enumerate(("red", "green", "blue"))])
+
+
 @query
 def search_strings(spark: SparkSession, sf: str) -> DataFrame:
     lat, lng = F.col("latitude"), F.col("longitude")

@@ -17,6 +17,7 @@ SALES = T.StructType([
     T.StructField("lng", T.DoubleType()),
 ])
 
+# The columns of the sales report, in their order.
 SALES_REPORT_COLUMNS = [
     "sale_date", "sale_price", "beds", "sqft", "price_per_sqft", "bath_full",
     "bath_half", "bath_3qtr", "year_built", "lat", "lng",
