@@ -162,7 +162,7 @@ def exact_quantiles(
 
     known = sorted_counts(digits.where("_c > 0"), keys).select("*", F.explode(F.array(*(
         F.struct(F.lit(t).alias("id"), rank.cast("long").alias("rank")) for t, (_, rank) in enumerate(ranks)))).alias("_t"))
-    targets = narrowed(known.withColumn("_id", F.col("_t.id")), F.col("_t.rank"), [*keys, "_id"])
+    targets = written(narrowed(known.withColumn("_id", F.col("_t.id")), F.col("_t.rank"), [*keys, "_id"]), "targets")
 
     # The leading bits as a range of values, which needs no key of the rows that it rules out.
     start = F.shiftleft("_held", first)
