@@ -259,11 +259,12 @@ def whiten(embeddings: DataFrame, k: int = COMPONENTS, key: str = "vec_id", vect
     fitted = fit(rows, k)
     if fitted is None or not len(fitted.values):
         return embeddings.sparkSession.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema))
-    model = embeddings.sparkSession.sparkContext.broadcast(fitted)
+    # As a plain tuple: a broadcast, unlike a task, does not carry this module's classes along.
+    model = embeddings.sparkSession.sparkContext.broadcast(tuple(fitted))
     d, k = len(fitted.sums), len(fitted.values)
 
     def with_one(batch: pa.RecordBatch) -> np.ndarray:
-        w = model.value.whitened(whole_numbers(batch["vector"], d)[1])
+        w = Fit(*model.value).whitened(whole_numbers(batch["vector"], d)[1])
         return np.column_stack([w, np.ones(len(w))])
 
     measured = _matrix(rows, with_one, k + 1) / fitted.n
@@ -271,7 +272,7 @@ def whiten(embeddings: DataFrame, k: int = COMPONENTS, key: str = "vec_id", vect
     error = float(np.abs(measured[:k, :k] - np.outer(mean, mean) - np.eye(k)).max())
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own = model.value
+        own = Fit(*model.value)
         explained = own.values / own.trace
         for whole in batches:
             for start in range(0, whole.num_rows, BLOCK):
