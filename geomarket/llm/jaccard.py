@@ -112,14 +112,17 @@ class Order:
     def __init__(self, known: np.ndarray, counts: np.ndarray, seed: np.uint64):
         self.known, self.counts, self.seed = known, counts, seed
 
-    def prefixes(self, sets: Sets, length: np.ndarray) -> np.ndarray:
-        """The first tokens of each set in this order, set after set."""
-        rank = mix(sets.token ^ self.seed) >> np.uint64(_COUNT_BITS)
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        rank = mix(tokens ^ self.seed) >> np.uint64(_COUNT_BITS)
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, sets.token), len(self.known) - 1)
-            count = np.where(self.known[at] == sets.token, self.counts[at], 0).astype(np.uint64)
+            at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+            count = np.where(self.known[at] == tokens, self.counts[at], 0).astype(np.uint64)
             rank |= count << np.uint64(64 - _COUNT_BITS)
-        order = np.lexsort((rank, sets.row))
+        return rank
+
+    def prefixes(self, sets: Sets, length: np.ndarray) -> np.ndarray:
+        """The first tokens of each set in this order, set after set."""
+        order = np.lexsort((self.rank(sets.token), sets.row))
         begin = np.cumsum(sets.size) - sets.size
         place = np.arange(len(order)) - begin[sets.row]
         return sets.token[order][place < length[sets.row]]
@@ -169,8 +172,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefix_table(docs: DataFrame, similarity: Similarity, orders) -> DataFrame:
-    """Per row its set's size and node; per node and task, the prefixes in the three orders."""
-    out = fields(doc_id="long", n="long", node="long", first="longs", second="ints", third="ints",
+    """Per row its set's size and node; per node and task, the prefixes in the three orders and the last rank in the first."""
+    out = fields(doc_id="long", n="long", node="long", first="longs", second="ints", third="ints", reach="long",
                  **dict.fromkeys(_MAPS, "long"))
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -187,10 +190,12 @@ def _prefix_table(docs: DataFrame, similarity: Similarity, orders) -> DataFrame:
                             seen.add(node)
                 length = similarity.probe(sets.size) * new
                 first, second, third = (order.prefixes(sets, length) for order in made)
+                reach = np.zeros(chunk.rows, dtype=np.uint64)
+                reach[length > 0] = made[0].rank(first[np.cumsum(length)[length > 0] - 1]) >> np.uint64(1)
                 short = lambda tokens: (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield {"doc_id": batch.column(0).slice(chunk.first, chunk.rows), "n": pa.array(sets.size),
                        "node": pa.array(_signed(sets.node), mask=sets.size == 0), "first": _lists(_signed(first), length),
-                       "second": _lists(short(second), length), "third": _lists(short(third), length),
+                       "second": _lists(short(second), length), "third": _lists(short(third), length), "reach": pa.array(_signed(reach)),
                        **{name: pa.array(_signed(made)) for name, made in zip(_MAPS, bitmaps(sets), strict=True)}}
 
     return rows_from(docs.select(F.col("doc_id").cast("long"), "text"), produce, out)
@@ -251,6 +256,18 @@ def _alike(similarity: Similarity, a: str, b: str) -> Column:
     return F.expr(f"{differing} <= {similarity.difference(a + 'n', b + 'n')}")
 
 
+def _not_lone(similarity: Similarity, a: str, b: str) -> Column:
+    """Prefix tokens that no other set has in its prefix leave room for a link.
+
+    Of two prefixes, the one that ends first in the order has no such token in common with
+    the other set: the other's prefix holds all its tokens up to there. Unlike the bitmaps
+    this rules out as much in large sets as in small ones.
+    """
+    need = similarity.overlap(a + "n", b + "n")
+    return F.expr(f"case when {a}reach < {b}reach then {a}n - {a}lone >= {need} "
+                  f"when {b}reach < {a}reach then {b}n - {b}lone >= {need} else true end")
+
+
 def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataFrame:
     """Links between nodes whose components are those of all links."""
     rows = prefixes.where(F.size("first") > 0).select("node", "n", F.posexplode("first").alias("pos", "token"))
@@ -258,7 +275,7 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
     hubs = rows.groupBy("token").agg(
         F.min("node").alias("least"), F.max("node").alias("most"),
         F.min(F.when(F.col("indexed"), F.struct("pos", "n", "node"))).alias("hub"))
-    hubs = written(hubs.where("least <> most and hub is not null").select("token", "hub"), "shared-tokens")
+    hubs = written(hubs.where("least <> most").select("token", "hub"), "shared-tokens")
     bits = collected_bits(hubs, F.col("token"))
     shared = written(maybe_rows(rows, F.col("token"), bits).join(hubs, "token"), "shared-rows")
 
@@ -269,24 +286,27 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
         F.col("node").alias("a"), F.col("h_node").alias("b"))
     smaller = star.where("n < h_n and indexed").where(_near_enough(similarity, "h_", "")).select(
         F.col("h_node").alias("a"), F.col("node").alias("b"))
-    maps = written(prefixes.where(F.size("first") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *_MAPS)]),
-                   "bitmaps")
+    maps = written(prefixes.where(F.size("first") > 0).groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("n", "reach", *_MAPS)], F.first(F.size("first")).alias("length")).join(
+        shared.select("node", "token").distinct().groupBy("node").agg(F.count("*").alias("n_shared")), "node", "left").select(
+        "node", "n", "reach", *_MAPS, (F.col("length") - F.coalesce("n_shared", F.lit(0))).alias("lone")), "bitmaps")
     one, other = (maps.select(*[F.col(c).alias(f"{s}_{c}") for c in maps.columns]) for s in "ab")
     first_pairs = larger.union(smaller).distinct()
     first_pairs = first_pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node"))
-    first_pairs = written(first_pairs.where(_alike(similarity, "a_", "b_")).select("a", "b"), "star-pairs")
+    first_pairs = written(first_pairs.where(
+        _not_lone(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).select("a", "b"), "star-pairs")
     first_links = _linked(docs, first_pairs, prefixes, similarity)
 
     groups = written(components(first_links), "groups")
-    grouped = shared.drop("hub").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = shared.where("hub is not null").drop("hub").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grouped.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
         "least <> most").select("token")
-    grouped = written(grouped.join(mixed, "token", "left_semi").join(maps.drop("n"), "node"), "mixed-tokens")
-    kept = ("node", "n", "pos", "root", *_MAPS)
+    grouped = written(grouped.join(mixed, "token", "left_semi").distinct().join(maps.drop("n"), "node"), "mixed-tokens")
+    kept = ("node", "n", "pos", "root", "reach", "lone", *_MAPS)
     big = grouped.select("token", *[F.col(c).alias(f"a_{c}") for c in kept])
     small = grouped.where("indexed").select("token", *[F.col(c).alias(f"b_{c}") for c in kept])
     pairs = big.join(small, "token").where("a_root <> b_root and (a_n > b_n or a_n = b_n and a_node > b_node)").where(
-        _near_enough(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).select(
+        _near_enough(similarity, "a_", "b_") & _not_lone(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).select(
         F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     tried = first_pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     second_pairs = written(pairs.withColumns({"x": F.greatest("a", "b"), "y": F.least("a", "b")}).join(

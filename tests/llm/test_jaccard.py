@@ -119,3 +119,23 @@ def test_long_chains_and_stars(spark):
     assert len(found) == len(roots) == 61 + 51
     assert all(roots[k] == 0 for k in range(61)) and roots[200] == 100 and roots[149] == 100
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_sets_with_common_passages(spark):
+    """Large texts that share passages, and links among them, with prefixes full of shared and of lone tokens."""
+    rng = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(120)] for k in range(12)]
+    texts = []
+    for d in range(60):
+        own = [f"d{d}w{i}" for i in range(rng.randrange(0, 700))]
+        text = sum(rng.sample(passages, 5), own)
+        texts.append(text)
+        for _ in range(rng.randrange(0, 3)):
+            near = list(text)
+            for _ in range(rng.randrange(0, 20)):
+                near[rng.randrange(len(near))] = f"x{rng.random()}"
+            texts.append(near[:rng.randrange(len(near) * 17 // 20, len(near) + 1)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
+    assert 60 < len({r.component_id for r in found}) < len(rows) - 10
