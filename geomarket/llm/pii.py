@@ -11,7 +11,9 @@ higher one are removed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geomarket.llm.tables import collected_bits, maybe_in, maybe_rows, written
-from geomarket.llm.tasks import arrow_schema, fields, rows_from, with_columns
+from geomarket.llm.tasks import arrow_schema, fields, give_back, rows_from, with_columns
 from geomarket.llm.words import ALPHANUMERIC, Chunk, chunks, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -31,7 +33,7 @@ SUPPORT, BITS, BITS_REMOVED = 3, 1.0, 0.15
 TERM_BYTES = 4
 # Rows of lines with a term or an entity that a task hands on at once.
 BLOCK_ROWS = 100_000
-# Texts that are strings in a task at once when they are sanitised.
+# Texts that are strings in a task at once.
 SLICE = 256
 PLACEHOLDERS = {kind: f"[{kind.upper()}]" for kind in KINDS}
 
@@ -41,6 +43,7 @@ _DIGITS_AND_DOTS = re.compile(r"[0-9][0-9.]*")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_BREAK = re.compile("\n")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -155,8 +158,8 @@ def _first_pass(docs: DataFrame) -> DataFrame:
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                some = batch.slice(k, 1000)
+            for k in range(0, len(batch), SLICE):
+                some = batch.slice(k, SLICE)
                 keys, docs, texts = (c.to_pylist() for c in some.columns)
                 base, counts, lines = [], [], []
                 for text in texts:
@@ -200,16 +203,17 @@ def _lines_without(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 if not len(start):
                     continue
                 # Lines are numbered through the chunk; a text begins a line of its own.
-                breaks = chunk.data == 10
-                line = np.cumsum(breaks)[start] + row[some]
-                with_entity = set()
+                breaks = np.flatnonzero(chunk.data == 10)
+                line = np.searchsorted(breaks, start) + row[some]
+                with_entity = []
                 for r in range(chunk.rows):
                     text = chunk.data[chunk.offsets[r]:chunk.offsets[r + 1]].tobytes().decode()
-                    spans = base_spans(text)
+                    spans = [s[0] for s in base_spans(text)]
                     if spans:
-                        first = int(breaks[:chunk.offsets[r]].sum()) + r
-                        with_entity |= {first + text.count("\n", 0, s[0]) for s in spans}
-                other = ~np.isin(line, np.array(sorted(with_entity), dtype=np.int64))
+                        first = int(np.searchsorted(breaks, chunk.offsets[r])) + r
+                        inside = [m.start() for m in _BREAK.finditer(text)]
+                        with_entity.append(first + np.searchsorted(inside, spans))
+                other = ~np.isin(line, np.concatenate(with_entity)) if with_entity else np.ones(len(line), bool)
                 once = np.unique(np.stack([line[other].astype(np.uint64), hashed[other]], axis=1), axis=0)[:, 1]
                 held.append(once)
                 size += len(once)
@@ -292,10 +296,10 @@ def _analysed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _outside(base: list[tuple[int, int, int]], terms: list[dict]) -> list[dict]:
     """The terms that overlap no base span."""
-    starts, ends = [s[0] for s in base], np.maximum.accumulate([s[2] for s in base]) if base else []
+    starts, ends = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
     kept = []
     for term in terms:
-        before = int(np.searchsorted(starts, term["end"]))  # spans that begin before the term ends
+        before = bisect_left(starts, term["end"])  # spans that begin before the term ends
         if not before or ends[before - 1] <= term["start"]:
             kept.append(term)
     return kept
@@ -366,6 +370,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 texts = [None if t is None else _masked(t, s or [])
                          for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["document", "clean"])
+        give_back()
 
     done = rows.mapInArrow(clean, T.StructType([rows.schema["document"], T.StructField("clean", T.StringType())]))
     changed = {"text": F.col("clean"), "n_chars": F.char_length("clean")}

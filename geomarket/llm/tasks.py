@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -15,9 +16,22 @@ Columns = Callable[[pa.RecordBatch], dict[str, pa.Array]]
 
 
 def process_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, by name."""
+    """A dictionary that a Python worker keeps between tasks, until one of another name is asked for.
+
+    A worker outlives its stage: what an earlier operator remembered would stay beside a later one's.
+    """
     holder = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.state = name, {}
+    return holder.state
+
+
+def give_back() -> None:
+    """Return memory that nothing holds any more to the machine; a worker would keep it through all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # other C libraries have none
+        trim(0)
 
 
 def arrow_schema(fields: list[T.StructField]) -> pa.Schema:
@@ -36,6 +50,8 @@ def with_columns(df: DataFrame, compute: Columns, fields: list[T.StructField]) -
             made = compute(batch)
             arrays = [*batch.columns, *(made[f.name].cast(f.type) for f in wanted)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*old, *wanted.names])
+            del batch, made, arrays
+        give_back()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
@@ -50,6 +66,8 @@ def rows_from(df: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Itera
             arrays = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in
                       ((made[f.name], f) for f in wanted)]
             yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
+            del made, arrays
+        give_back()
 
     return df.mapInArrow(run, T.StructType(fields))
 
