@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomarket.llm.graph import components
-from geomarket.llm.tables import collected_bits, maybe_in, maybe_rows, written
+from geomarket.llm.tables import collected_bits, freed, maybe_in, maybe_rows, written
 from geomarket.llm.tasks import fields, rows_from, with_columns
 from geomarket.llm.words import NOT_SPACE, Chunk, chunks, mix, windows, words
 
@@ -240,7 +240,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, similarity:
     one, other = (sets.select(F.col("node").alias(f"node_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     checked = likely.join(one, "node_a").join(other, "node_b").where(shared >= F.expr(similarity.overlap("n_a", "n_b")))
-    return written(checked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "linked")
+    linked = written(checked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "linked")
+    freed(signs, likely, sets)
+    return linked
 
 
 def _near_enough(similarity: Similarity, big: str, small: str) -> Column:
@@ -311,6 +313,7 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
     tried = first_pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     second_pairs = written(pairs.withColumns({"x": F.greatest("a", "b"), "y": F.least("a", "b")}).join(
         tried, ["x", "y"], "left_anti").select("a", "b"), "second-pairs")
+    freed(hubs, shared, maps, first_pairs, groups, grouped)
     return first_links.union(_linked(docs, second_pairs, prefixes, similarity))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,17 @@ def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made (not those written ``by`` a column), once nothing reads them any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for file in table.inputFiles()[:1]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if not re.fullmatch(r".+-[0-9a-f]{32}", folder.getName()):
+                raise ValueError(f"{folder} is no scratch table")
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def collected_bits(df: DataFrame, key: Column) -> np.ndarray:
     """Bits at ``key`` modulo ``BLOOM_BITS`` as longs: 1 MB, whatever the number of rows.
 

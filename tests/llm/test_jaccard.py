@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 from collections import Counter
@@ -6,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from geomarket.llm import graph, jaccard
+from geomarket.llm import graph, jaccard, tables
 from geomarket.llm.words import chunks
 
 
@@ -139,3 +140,14 @@ def test_large_sets_with_common_passages(spark):
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows)
     assert 60 < len({r.component_id for r in found}) < len(rows) - 10
+
+
+def test_only_scratch_tables_are_freed(spark, tmp_path):
+    one, other = (tables.written(spark.range(n), "some") for n in (3, 0))
+    tables.freed(one, other)
+    for table in (one, other):
+        assert not any(pathlib.Path(f.removeprefix("file:")).exists() for f in table.inputFiles())
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError, match="no scratch table"):
+        tables.freed(spark.read.parquet(f"{tmp_path}/own"))
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 3
