@@ -20,25 +20,96 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geomarket.llm.tables import written
 from geomarket.llm.tasks import fields, process_state, rows_from
+from geomarket.llm.words import Chunk, byte_class, chunks
 
 CAPACITY = 4096
 # Rounds of the cover, a knapsack each, and how fast prices fall with what is covered.
 ROUNDS, RATE = 24, 1.0
-# Chunks of text a worker remembers the ids of.
-REMEMBERED = 1_000_000
+# Different words whose ids a worker keeps, at most; more only saves time.
+REMEMBERED = 600_000
+# Bytes of text whose words are looked up together.
+TOGETHER = 1 << 22
+# Words that the tokenizer gets in one call.
+BLOCK = 5_000
 # Pieces of one length that are numbered in one task.
 NUMBERED = 100_000
 
 
 # Tokens ---------------------------------------------------------------------------------------
 
+# Without the characters of special tokens.
+_MARK = byte_class(b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~")
+# Words that normalising leaves as they are.
+_SMALL_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+# Marks at the end of a chunk that are split off together, at most.
+_MARKS = 16
+
+
+class Pieces(NamedTuple):
+    """What stands between spaces, marks after its last letter being a piece of their own."""
+
+    kind: pa.Array  # the different pieces; a word of letters with its A-Z in lower case
+    which: np.ndarray  # the kind of each piece
+    first: np.ndarray  # of each text its first piece, and the number of pieces
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are A-Z or a-z."""
+    return (data | np.uint8(0x20)) - np.uint8(97) < 26
+
+
+def _ends_in_letter(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the last character is a letter below U+0250 whose small form is one letter."""
+    last, before = data[end - 1], data[np.maximum(end - 2, 0)]
+    two = (end - start >= 2) & (before >= 0xC3) & (before <= 0xC8) & (last >= 0x80) & (last < 0xC0)
+    sign = (before == 0xC3) & ((last == 0x97) | (last == 0xB7))
+    dotted = (before == 0xC4) & (last == 0xB0)
+    return _letters(last) | (two & ~sign & ~dotted)
+
+
+def _piece_of(edges: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(edges, at.astype(edges.dtype), side="right") - 1
+
+
+def split(chunk: Chunk) -> Pieces:
+    """The pieces of the texts; a line break parts words just as a space does."""
+    data, offsets = chunk.data, chunk.offsets
+    inside = (data != 0x20) & (data != 0x0A)
+    before, after = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    begins = inside & ~before
+    start, end = np.flatnonzero(begins), np.flatnonzero(inside & ~after) + 1
+    cut = end.copy()
+    marked = np.arange(len(end))
+    for _ in range(_MARKS):
+        marked = marked[_MARK[data[cut[marked] - 1]]]
+        cut[marked] -= 1
+        marked = marked[cut[marked] > start[marked]]
+    some = np.flatnonzero((cut > start) & (cut < end))
+    some = some[_ends_in_letter(data, start[some], cut[some])]
+    begins[cut[some]] = True
+    # Without the spaces the pieces follow each other, as the strings of an Arrow array do.
+    begin, kept = np.flatnonzero(begins), data[inside]
+    edges = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
+    plain = np.ones(len(begin), dtype=bool)
+    plain[_piece_of(edges, np.flatnonzero(~_letters(kept) & (kept < 0x80)))] = False
+    upper = np.flatnonzero(kept - np.uint8(65) < 26)
+    kept[upper[plain[_piece_of(edges, upper)]]] += np.uint8(32)
+    encoded = pa.StringArray.from_buffers(
+        len(begin), pa.py_buffer(edges), pa.py_buffer(kept)).dictionary_encode()
+    return Pieces(encoded.dictionary, encoded.indices.to_numpy(), np.searchsorted(begin, offsets))
+
+
 class ChunkTokenizer:
-    """Ids of texts, put together from remembered ids of what stands between spaces.
+    """Ids of texts, put together from the ids of what stands between spaces; each different word is encoded once.
 
     Only for tokenizers that never look across a space, as ``__init__`` tests on examples.
     """
@@ -56,8 +127,9 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        probe = "Ab cd, é 12!\nEf <|endoftext|> 's x"
+        # Arrow arrays take a small part of what a dictionary of as many strings takes.
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        probe = "Ab cd, é 12!\nEf <|endoftext|> 's x, Yz?! é... a'll İ. ñ'!"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         if b"".join(self.ids([probe])) != np.array(whole, dtype="<u4").tobytes():
             raise ValueError("this tokenizer looks across spaces")
@@ -72,45 +144,62 @@ class ChunkTokenizer:
         data = ids.tobytes()
         return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
-    def _encode_words(self, chosen: list[str]) -> list[bytes]:
+    def _encode_words(self, chosen: pa.Array) -> pa.Array:
         """The same for words of small letters."""
-        ids = np.array(self.bare.encode(" ".join(chosen), add_special_tokens=False).ids, dtype="<u4")
-        cuts = [0, *(4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()]
+        listed = pa.ListArray.from_arrays(pa.array([0, len(chosen)], pa.int32()), chosen)
+        joined = pc.binary_join(listed, " ")[0].as_py()
+        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.append(0, 4 * np.flatnonzero(self.ends_word[ids]) + 4).astype(np.int64)
         if len(cuts) != len(chosen) + 1:
-            return self._encode(chosen)
-        data = ids.tobytes()
-        return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        known, words, others, made = self.known, set(), [], []
-        for chunk in new:
-            # The text is split between a letter and a mark; letters below U+0250 have one small form.
-            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,!?" else (chunk, "")
-            word = word.lower()
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                if word not in known:
-                    words.add(word)
-                if word != chunk:
-                    made.append((chunk, word, mark))
-            else:
-                others.append(chunk)
-        for encode, chosen in ((self._encode_words, list(words)), (self._encode, [*others, *".,!?"])):
-            for k in range(0, len(chosen), 5_000):
-                known.update(zip(chosen[k:k + 5_000], encode(chosen[k:k + 5_000]), strict=True))
-        known.update([(chunk, known[word] + known[mark]) for chunk, word, mark in made])
+            return pa.array(self._encode(chosen.to_pylist()), pa.large_binary())
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(chosen), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+    def _encode_others(self, pieces: list[str]) -> pa.Array:
+        """The same for pieces of any kind; of words in capitals the small form is encoded."""
+        forms = []
+        for piece in pieces:
+            # Letters below U+0250 have one small form.
+            word = piece.lower()
+            forms.append(word if word.isalpha() and max(word) < "\u0250" else piece)
+        chosen, known = list(dict.fromkeys(forms)), {}
+        for k in range(0, len(chosen), BLOCK):
+            known.update(zip(chosen[k:k + BLOCK], self._encode(chosen[k:k + BLOCK]), strict=True))
+        return pa.array([known[form] for form in forms], pa.large_binary())
+
+    def _learned(self, new: pa.Array) -> pa.Array:
+        """The ids of pieces that are not remembered."""
+        small = pc.match_substring_regex(new, _SMALL_WORD).to_numpy(zero_copy_only=False)
+        words, others = np.flatnonzero(small), np.flatnonzero(~small)
+        made = [self._encode_words(new.take(pa.array(words[k:k + BLOCK]))) for k in range(0, len(words), BLOCK)]
+        made.append(self._encode_others(new.take(pa.array(others)).to_pylist()))
+        return pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate([words, others]))))
+
+    def chunk_ids(self, chunk: Chunk) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        kind, which, first = split(chunk)
+        known = pc.index_in(kind, value_set=self.known)
+        missing = known.is_null().to_numpy(zero_copy_only=False)
+        place = known.fill_null(0).to_numpy().copy()
+        place[missing] = len(self.known) + np.arange(missing.sum())
+        ids = pa.concat_arrays([self.known_ids, self._learned(kind.filter(pa.array(missing)))])
+        joined = ids.take(pa.array(place[which]))
+        self._remember(kind, ids, place)
+        _, ends, data = joined.buffers()
+        cuts = np.frombuffer(ends, dtype=np.int64)[first].tolist() if len(joined) else [0] * len(first)
+        return [bytes(data[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _remember(self, kind: pa.Array, ids: pa.Array, place: np.ndarray) -> None:
+        """Keep the pieces seen just now, then those remembered before, the latest first."""
+        unseen = np.ones(len(self.known), dtype=bool)
+        unseen[place[place < len(unseen)]] = False
+        rest = np.flatnonzero(unseen)[:max(0, REMEMBERED - len(kind))]
+        self.known = pa.concat_arrays([kind[:REMEMBERED], self.known.take(pa.array(rest))])
+        self.known_ids = ids.take(pa.array(np.concatenate([place[:REMEMBERED], rest])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        # A line break parts words just as a space does.
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [c for c in set().union(*parts) if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.known[""] = b""
-            new = [c for c in set().union(*parts) if c]
-        self._learn(new)
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in parts]
+        """The same for a list of texts."""
+        return [ids for chunk in chunks(pa.array(texts, pa.large_string()), TOGETHER) for ids in self.chunk_ids(chunk)]
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -127,12 +216,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
-                keys = some.column(0).to_pylist()
+            for chunk in chunks(batch.column(1), TOGETHER):
+                keys = batch.column(0).slice(chunk.first, chunk.rows).to_pylist()
                 rows = []
-                for key, ids in zip(keys, tokenizer(path).ids([t or "" for t in some.column(1).to_pylist()]),
-                                    strict=True):
+                for key, ids in zip(keys, tokenizer(path).chunk_ids(chunk), strict=True):
                     ids += end
                     for number, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start:start + 4 * capacity]

@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,6 +24,35 @@ def test_ids_are_the_tokenizers(texts):
         plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(
+    ["Ab", "É", "ß", "İ", "×", "ǅ", "ɐ", "é", "'", "'S", "!", "***", ".,", "|>", "<|endoftext", " ", "\n", "\t", "7",
+     "\u0301", "\u0338", "Zz", "$" * 20, "\u0130"]), max_size=8).map("".join), max_size=6))
+def test_pieces_forgotten_and_split_give_the_same_ids(texts):
+    plain = Tokenizer.from_file(PATH)
+    kept, packing.REMEMBERED, packing.TOGETHER = (packing.REMEMBERED, packing.TOGETHER), 3, 8
+    try:
+        made = packing.tokenizer(PATH)
+        for _ in range(2):
+            assert [np.frombuffer(f, "<u4").tolist() for f in made.ids(texts)] == [
+                plain.encode(t, add_special_tokens=False).ids for t in texts]
+            assert len(made.known) == len(made.known_ids) and (len(made.known) <= 3 or not any(texts))
+    finally:
+        packing.REMEMBERED, packing.TOGETHER = kept
+
+
+def test_remembered_words_take_little_memory():
+    made = packing.ChunkTokenizer(PATH)
+    words = ["".join("abcdefghij"[int(d)] for d in f"{k:07d}") for k in range(50_000)]
+    made.ids([" ".join(words)])
+    assert len(made.known) >= 50_000
+    assert made.known.nbytes + made.known_ids.nbytes < sum(map(sys.getsizeof, words))
+    learned = []
+    made._learned = lambda new, learn=made._learned: learned.extend(new.to_pylist()) or learn(new)
+    made.ids([" ".join(words)])
+    assert not learned
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), min_size=1))
 def test_plan_holds_every_piece_once(histogram):
