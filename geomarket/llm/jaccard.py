@@ -67,6 +67,20 @@ class Sets(NamedTuple):
     node: np.ndarray  # hash of the whole set, by row
 
 
+def _row_by_row(row: np.ndarray, value: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
+    """Order by row, then value; equal tokens in any order, others of equal value in that of their places.
+
+    One key holds the row and the leading bits of the value; only if that mixes up tokens are both compared.
+    """
+    bits = max(1, int(rows).bit_length())
+    key = (row.astype(np.uint64) << np.uint64(64 - bits)) | (value >> np.uint64(bits))
+    order = np.argsort(key)
+    key, token = key[order], token[order]
+    if ((key[1:] == key[:-1]) & (token[1:] != token[:-1])).any():
+        return np.lexsort((value, row))
+    return order
+
+
 def shingle_sets(chunk: Chunk, width: int) -> Sets:
     """The set of each text: shingles of ``width`` words, or all words if there are fewer."""
     found = words(chunk, NOT_SPACE)
@@ -80,7 +94,7 @@ def shingle_sets(chunk: Chunk, width: int) -> Sets:
         rows.append(found.row[first])
         tokens.append(hashed)
     row, token = np.concatenate(rows), np.concatenate(tokens)
-    order = np.lexsort((token, row))
+    order = _row_by_row(row, token, token, chunk.rows)
     row, token = row[order], token[order]
     fresh = np.ones(len(row), dtype=bool)
     fresh[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
@@ -122,7 +136,7 @@ class Order:
 
     def prefixes(self, sets: Sets, length: np.ndarray) -> np.ndarray:
         """The first tokens of each set in this order, set after set."""
-        order = np.lexsort((self.rank(sets.token), sets.row))
+        order = _row_by_row(sets.row, self.rank(sets.token), sets.token, len(sets.size))
         begin = np.cumsum(sets.size) - sets.size
         place = np.arange(len(order)) - begin[sets.row]
         return sets.token[order][place < length[sets.row]]
@@ -228,20 +242,21 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def _linked(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataFrame:
     """The pairs (a the larger set) that the other orders let through and whose sets are similar enough."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    signs = written(prefixes.where(F.size("first") > 0).join(ends, "node", "left_semi").groupBy("node").agg(
+    signs = written(prefixes.join(ends, "node", "left_semi").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("n", "second", "third")]), "orders")
     one, other = (signs.select(*[F.col(c).alias(f"{c}_{side}") for c in signs.columns]) for side in "ab")
     both = pairs.withColumnsRenamed({"a": "node_a", "b": "node_b"}).join(one, "node_a").join(other, "node_b")
     for order in ("second", "third"):
         both = both.where(F.expr(f"arrays_overlap({order}_a, slice({order}_b, 1, cast({similarity.index('n_b')} as int)))"))
     likely = written(both.select("node_a", "node_b", "n_a", "n_b"), "likely")
+    freed(signs)
     sets = _full_sets(docs, likely.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct(),
                       similarity.width)
     one, other = (sets.select(F.col("node").alias(f"node_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     checked = likely.join(one, "node_a").join(other, "node_b").where(shared >= F.expr(similarity.overlap("n_a", "n_b")))
     linked = written(checked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "linked")
-    freed(signs, likely, sets)
+    freed(likely, sets)
     return linked
 
 
@@ -271,7 +286,7 @@ def _not_lone(similarity: Similarity, a: str, b: str) -> Column:
 
 
 def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataFrame:
-    """Links between nodes whose components are those of all links."""
+    """Links between nodes whose components are those of all links; deletes ``prefixes``, the largest table."""
     rows = prefixes.where(F.size("first") > 0).select("node", "n", F.posexplode("first").alias("pos", "token"))
     rows = rows.withColumn("indexed", F.expr(f"pos < {similarity.index('n')}"))
     hubs = rows.groupBy("token").agg(
@@ -280,6 +295,10 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
     hubs = written(hubs.where("least <> most").select("token", "hub"), "shared-tokens")
     bits = collected_bits(hubs, F.col("token"))
     shared = written(maybe_rows(rows, F.col("token"), bits).join(hubs, "token"), "shared-rows")
+    freed(hubs)
+    # Of a set without a shared token no pair is made. The first order is in the rows now.
+    others = written(maybe_rows(prefixes.where(F.size("first") > 0).select("node", "n", "second", "third"), F.col("node"),
+                                collected_bits(shared, F.col("node"))), "other-orders")
 
     star = shared.where("node <> hub.node").select(
         "node", "n", "pos", "indexed", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"),
@@ -292,12 +311,13 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
         *[F.first(c).alias(c) for c in ("n", "reach", *_MAPS)], F.first(F.size("first")).alias("length")).join(
         shared.select("node", "token").distinct().groupBy("node").agg(F.count("*").alias("n_shared")), "node", "left").select(
         "node", "n", "reach", *_MAPS, (F.col("length") - F.coalesce("n_shared", F.lit(0))).alias("lone")), "bitmaps")
+    freed(prefixes)
     one, other = (maps.select(*[F.col(c).alias(f"{s}_{c}") for c in maps.columns]) for s in "ab")
     first_pairs = larger.union(smaller).distinct()
     first_pairs = first_pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node"))
     first_pairs = written(first_pairs.where(
         _not_lone(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).select("a", "b"), "star-pairs")
-    first_links = _linked(docs, first_pairs, prefixes, similarity)
+    first_links = _linked(docs, first_pairs, others, similarity)
 
     groups = written(components(first_links), "groups")
     grouped = shared.where("hub is not null").drop("hub").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -313,8 +333,10 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
     tried = first_pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     second_pairs = written(pairs.withColumns({"x": F.greatest("a", "b"), "y": F.least("a", "b")}).join(
         tried, ["x", "y"], "left_anti").select("a", "b"), "second-pairs")
-    freed(hubs, shared, maps, first_pairs, groups, grouped)
-    return first_links.union(_linked(docs, second_pairs, prefixes, similarity))
+    freed(shared, maps, first_pairs, groups, grouped)
+    found = first_links.union(_linked(docs, second_pairs, others, similarity))
+    freed(others, second_pairs)
+    return found
 
 
 NEAR = Similarity(above=90, below=100, width=3)
@@ -329,10 +351,11 @@ def _components(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, Dat
     """The set's size and node by row; and by node its smallest id and the root of its component."""
     orders = docs.sparkSession.sparkContext.broadcast(_frequent(docs, similarity.width))
     prefixes = written(_prefix_table(docs, similarity, orders), "prefixes")
+    sets = written(prefixes.select("doc_id", "n", "node"), "nodes")
     roots = components(links(docs, prefixes, similarity))
-    nodes = prefixes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return prefixes, written(rooted, "components")
+    return sets, written(rooted, "components")
 
 
 def near_duplicates(docs: DataFrame, similarity: Similarity = NEAR) -> DataFrame:
@@ -343,10 +366,10 @@ def near_duplicates(docs: DataFrame, similarity: Similarity = NEAR) -> DataFrame
     a row without an id belongs to the component of its set, whose id is the smallest
     id in it, or null if none has one. An empty table gives no rows.
     """
-    prefixes, rooted = _components(docs, _reduced(similarity))
+    sets, rooted = _components(docs, _reduced(similarity))
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = written(rooted.join(by_root, "root").select("node", "component_id"), "component-ids")
-    return prefixes.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labelled, "node", "left").select(
+    return sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labelled, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

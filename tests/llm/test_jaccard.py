@@ -151,3 +151,37 @@ def test_only_scratch_tables_are_freed(spark, tmp_path):
     with pytest.raises(ValueError, match="no scratch table"):
         tables.freed(spark.read.parquet(f"{tmp_path}/own"))
     assert spark.read.parquet(f"{tmp_path}/own").count() == 3
+
+
+def test_disk_is_given_back_early(spark, small_docs, monkeypatch):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    made, plain = [], tables.written
+
+    def shuffled():
+        return manager.getAllFiles().mkString(" ").count("shuffle_")
+
+    def there(table):
+        return any(pathlib.Path(f.removeprefix("file:")).exists() for f in table.inputFiles())
+
+    def written(df, label):
+        # When the texts of the first pairs are compared, the prefixes in the first order are no longer needed.
+        if label == "likely":
+            assert not any(there(table) for other, table in made if other in ("prefixes", "shared-tokens"))
+        before = shuffled()
+        made.append((label, plain(df, label)))
+        assert shuffled() <= before
+        return made[-1][1]
+
+    monkeypatch.setattr(jaccard, "written", written)
+    assert jaccard.near_duplicates(small_docs).count() == small_docs.count()
+    assert "likely" in dict(made) and {label for label, table in made if there(table)} <= {
+        "frequent-shingles", "nodes", "linked", "components", "component-ids"}
+
+
+def test_order_by_row_and_value():
+    rng = np.random.default_rng(3)
+    row = np.sort(rng.integers(0, 9, 500))
+    for spread in (3, 1 << 63):
+        token = rng.integers(0, spread, 500).astype(np.uint64)
+        order = jaccard._row_by_row(row, token, token, 9)
+        assert list(zip(row[order], token[order], strict=True)) == sorted(zip(row, token, strict=True))
