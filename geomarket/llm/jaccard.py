@@ -5,9 +5,10 @@ order. The first order, rarest tokens first as far as counts tell, makes the can
 two more orders must agree before the sets themselves are compared. Equal sets are one
 node. To keep a large group of near copies from being paired all with all, each prefix
 token first links its documents to the one in which it stands foremost; only pairs that
-these links leave in different groups are then compared. A bitmap of each set, the parity
-of its tokens by hash, bounds the difference of two sets from below and rules out most
-pairs before they leave the join.
+these links leave in different groups are then compared, and each is met at the first
+token the two share, not at every one. A bitmap of each set, the parity of its tokens by
+hash, bounds the difference of two sets from below and rules out most pairs before they
+leave the join.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ LEAST_IN_BLOCK, LEAST_COUNT, BLOCK_TOKENS = 3, 24, 2_000_000
 _MAPS = [f"map{k}" for k in range(4)]
 _SEEDS = [np.uint64(s) for s in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 _COUNT_BITS = 20
+# Tokens before a prefix token that its row carries, to tell whether a pair has met already.
+_BEFORE = 4
 
 
 class Similarity(NamedTuple):
@@ -285,6 +288,27 @@ def _not_lone(similarity: Similarity, a: str, b: str) -> Column:
                   f"when {b}reach < {a}reach then {b}n - {b}lone >= {need} else true end")
 
 
+def _with_before(rows: DataFrame) -> DataFrame:
+    """Each row of a prefix token with the tokens of the same set that come last before it."""
+    last = Window.partitionBy("node").orderBy("pos").rowsBetween(-_BEFORE, -1)
+    return rows.withColumn("before", F.collect_list("token").over(last))
+
+
+def _met(rows: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs of nodes of different groups that share a token and may be linked; hardly one comes twice.
+
+    A pair that shares one of the tokens before has met there: whatever lets a pair through
+    at a token lets it through at an earlier one. At the first that the two share, no
+    earlier one can be shared, so no pair is lost.
+    """
+    kept = ("node", "n", "pos", "root", "reach", "lone", "before", *_MAPS)
+    big = rows.select("token", *[F.col(c).alias(f"a_{c}") for c in kept])
+    small = rows.where("indexed").select("token", *[F.col(c).alias(f"b_{c}") for c in kept])
+    return big.join(small, "token").where("a_root <> b_root and (a_n > b_n or a_n = b_n and a_node > b_node)").where(
+        _near_enough(similarity, "a_", "b_") & _not_lone(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).where(
+        ~F.arrays_overlap("a_before", "b_before")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataFrame:
     """Links between nodes whose components are those of all links; deletes ``prefixes``, the largest table."""
     rows = prefixes.where(F.size("first") > 0).select("node", "n", F.posexplode("first").alias("pos", "token"))
@@ -323,13 +347,9 @@ def links(docs: DataFrame, prefixes: DataFrame, similarity: Similarity) -> DataF
     grouped = shared.where("hub is not null").drop("hub").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grouped.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(
         "least <> most").select("token")
-    grouped = written(grouped.join(mixed, "token", "left_semi").distinct().join(maps.drop("n"), "node"), "mixed-tokens")
-    kept = ("node", "n", "pos", "root", "reach", "lone", *_MAPS)
-    big = grouped.select("token", *[F.col(c).alias(f"a_{c}") for c in kept])
-    small = grouped.where("indexed").select("token", *[F.col(c).alias(f"b_{c}") for c in kept])
-    pairs = big.join(small, "token").where("a_root <> b_root and (a_n > b_n or a_n = b_n and a_node > b_node)").where(
-        _near_enough(similarity, "a_", "b_") & _not_lone(similarity, "a_", "b_") & _alike(similarity, "a_", "b_")).select(
-        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    grouped = _with_before(grouped.join(mixed, "token", "left_semi").distinct())
+    grouped = written(grouped.join(maps.drop("n"), "node"), "mixed-tokens")
+    pairs = _met(grouped, similarity).distinct()
     tried = first_pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     second_pairs = written(pairs.withColumns({"x": F.greatest("a", "b"), "y": F.least("a", "b")}).join(
         tried, ["x", "y"], "left_anti").select("a", "b"), "second-pairs")

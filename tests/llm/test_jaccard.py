@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from geomarket.llm import graph, jaccard, tables
 from geomarket.llm.words import chunks
@@ -185,3 +186,24 @@ def test_order_by_row_and_value():
         token = rng.integers(0, spread, 500).astype(np.uint64)
         order = jaccard._row_by_row(row, token, token, 9)
         assert list(zip(row[order], token[order], strict=True)) == sorted(zip(row, token, strict=True))
+
+
+def test_a_pair_is_met_once_in_the_join(spark, monkeypatch):
+    """Near copies that share many prefix tokens, too far apart to be linked by the hubs alone."""
+    rng = random.Random(12)
+    bases = [[f"b{k}w{i}" for i in range(400)] for k in range(2)]
+    rows = [(k, edited(rng, " ".join(rng.choice(bases)), rng.randrange(5, 9))) for k in range(40)]
+    plain, met = jaccard._met, []
+
+    def counted(rows, similarity):
+        pairs = plain(rows, similarity)
+        every = plain(rows.withColumn("before", F.expr("array(node)")), similarity)  # different in all nodes
+        met.append((pairs.count(), pairs.distinct().count(), every.count(), every.distinct().count()))
+        assert pairs.exceptAll(every).isEmpty() and every.distinct().exceptAll(pairs.distinct()).isEmpty()
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_met", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard.near_duplicates(docs, jaccard.Similarity(80, 100, 5)).count() == len(rows)
+    (once, pairs, every, all_pairs), = met
+    assert pairs == all_pairs > 50 and once < 1.5 * pairs and every > 10 * pairs
