@@ -32,9 +32,9 @@ CAPACITY = 4096
 # Rounds of the cover, a knapsack each, and how fast prices fall with what is covered.
 ROUNDS, RATE = 24, 1.0
 # Different words whose ids a worker keeps, at most; more only saves time.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 # Bytes of text whose words are looked up together.
-TOGETHER = 1 << 22
+TOGETHER = 3 << 20
 # Words that the tokenizer gets in one call.
 BLOCK = 5_000
 # Pieces of one length that are numbered in one task.
@@ -86,9 +86,10 @@ def split(chunk: Chunk) -> Pieces:
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     begins = inside & ~before
-    start, end = np.flatnonzero(begins), np.flatnonzero(inside & ~after) + 1
+    start, end = np.flatnonzero(begins).astype(np.int32), np.flatnonzero(inside & ~after).astype(np.int32) + 1
+    del before, after
     cut = end.copy()
-    marked = np.arange(len(end))
+    marked = np.arange(len(end), dtype=np.int32)
     for _ in range(_MARKS):
         marked = marked[_MARK[data[cut[marked] - 1]]]
         cut[marked] -= 1
@@ -96,6 +97,7 @@ def split(chunk: Chunk) -> Pieces:
     some = np.flatnonzero((cut > start) & (cut < end))
     some = some[_ends_in_letter(data, start[some], cut[some])]
     begins[cut[some]] = True
+    del start, end, cut, marked, some
     # Without the spaces the pieces follow each other, as the strings of an Arrow array do.
     begin, kept = np.flatnonzero(begins), data[inside]
     edges = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
@@ -378,7 +380,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1)
     text is the end token alone; repeated rows are packed each; other columns are ignored.
     An empty table gives no rows.
     """
-    rows = written(pieces(docs, path, capacity, end_id), "pieces")
+    # A batch gives one run of texts, also when its last row goes beyond the bound.
+    rows = written(pieces(docs, path, capacity, end_id), "pieces", arrow_bytes=TOGETHER * 15 // 16)
     histogram = rows.groupBy("length").count().orderBy("length").toPandas()
     made = plan_rows(plan(histogram["length"].to_numpy(), histogram["count"].to_numpy(), capacity))
     table = rows.sparkSession.createDataFrame(

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from geomarket.llm import packing
+from geomarket.llm.tables import ARROW_BYTES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -100,6 +101,22 @@ def test_documents_are_packed(small_docs):
     check(packing.pack(small_docs, PATH).collect(), small_docs.collect(), 4096)
 
 
+def test_workers_get_batches_of_bounded_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k} " * 100) for k in range(2_000)], "doc_id long, text string")
+    cut, limit = packing.chunks, 1 << 16
+
+    def bounded(column, together):
+        if together == limit and column.nbytes > limit:
+            raise ValueError(f"a batch of {column.nbytes} bytes")
+        return cut(column, together)
+
+    monkeypatch.setattr(packing, "TOGETHER", limit)
+    monkeypatch.setattr(packing, "chunks", bounded)
+    before = spark.conf.get(ARROW_BYTES)
+    check(packing.pack(docs, PATH).collect(), docs.collect(), 4096)
+    assert spark.conf.get(ARROW_BYTES) == before
+
+
 def test_odd_rows_and_hot_lengths(odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(packing, "NUMBERED", 2)
     check(packing.pack(odd_docs, PATH, capacity=64).collect(), odd_docs.collect(), 64)
